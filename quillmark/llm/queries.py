@@ -7,31 +7,99 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import line_dedup, mixing, url_cascade
+from quillmark.llm import audio, bottomk, language_id, line_dedup, mixing, packing, secret_scan, token_counts, url_cascade
+from quillmark.llm.shared import tokenizer_file, tokenizer_pattern
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_cascade.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, path=tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"])
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bottomk.fingerprint_with_edits(docs, edited_text=False).drop("edited_text")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    media = audio.encode_media(docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), keep=["doc_id", "n_bytes"])
+    found = audio.audio_features(media)
+    feature = F.concat_ws(
+        ";",
+        F.size("tensors"),
+        F.size("segments"),
+        F.round(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end"] - x["start"]), 6),
+        F.array_join(F.transform("pooled", lambda x: F.round(x.cast("double"), 4).cast("string")), ","),
+    )
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, path=tokenizer_file("byte_bpe_50k.json"), pattern=tokenizer_pattern())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "padded_length")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, path=tokenizer_file("byte_bpe_50k.json"), pattern=tokenizer_pattern(), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count("random").alias("n_random"),
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op4_token_counts": op4_token_counts,
+    "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,
+    "op7_audio": op7_audio,
+    "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
     "op10_mixing": op10_mixing,
 }
 

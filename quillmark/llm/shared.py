@@ -50,9 +50,46 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, *names: str) -> str:
-    """A column name that ``df`` does not have yet, made from the first of ``names``."""
-    name, have = names[0], {c.lower() for c in df.columns} | {n.lower() for n in names[1:]}
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; read where it is installed, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    """The pattern that splits text before the merges of the byte-level files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def map_texts(docs: DataFrame, work, added: str, *, text: str = "text", keep: list[str] | None = None, kind: str = "string") -> DataFrame:
+    """Runs ``work`` over Arrow batches of texts.
+
+    ``work()`` is called once a partition and returns a function from a list of
+    texts (None for null) to a list of Python lists or Arrow arrays, one for each
+    field of the DDL schema ``added``. The columns ``keep`` (all by default) come
+    first, without those that ``added`` replaces; names match as Spark's do.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(added)
+    taken = {f.name.lower() for f in new}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
+    at_end = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast(kind).alias("__text"))
+    out = StructType([*(at_end.schema[c] for c in kept), *new.fields])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        do, n = work(), len(kept)
+        for batch in batches:
+            found = do(batch.column(n).to_pylist())
+            arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(batch.columns[:n], schema, strict=False)]
+            arrays += [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(found, list(schema)[n:], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return at_end.mapInArrow(run, out)

@@ -195,12 +195,12 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     return Model.fit(x, np.array([r["lang"] for r in kept], object))
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1), replaced if there.
+def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1), or columns of other ``names``, replaced if there.
 
     ``und`` with score 0 for a null text or one without a letter, and for every
     text where nothing was labelled. Equal texts get equal answers. Only the
     text decides. The model is a few weight vectors of fixed length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, lambda: lambda texts: list(shared.value.predict(texts)), "lang_pred string, score double", text=text, keep=keep)
+    return map_texts(docs, lambda: lambda texts: list(shared.value.predict(texts)), f"{names[0]} string, {names[1]} double", text=text, keep=keep)

@@ -51,8 +51,8 @@ def boilerplate(docs: DataFrame, *, site: str = "source", text: str = "text", ra
     return joined.where(F.col("share") > ratio).select("site", "h1", "h2", "pages", "share")
 
 
-def dedup_lines(docs: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``docs`` with boilerplate lines dropped, and n_lines and n_dropped (long; replaced if there).
+def dedup_lines(docs: DataFrame, *, site: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines dropped, and n_lines and n_dropped (long; or other names in ``counts``; replaced if there).
 
     The order of what stays is kept, also repeats within a page, which count
     once; blank lines stay. A null text stays null with no lines; an empty one is one
@@ -60,26 +60,26 @@ def dedup_lines(docs: DataFrame, *, site: str = "source", text: str = "text", ra
     """
     found = stash(boilerplate(docs, site=site, text=text, ratio=ratio, least_pages=least_pages), "lines")
     if found.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        return _by_broadcast(docs, found, site, text)
-    return _by_join(docs, found, site, text)
+        return _by_broadcast(docs, found, site, text, counts)
+    return _by_join(docs, found, site, text, counts)
 
 
-def _counts(lines: Column, kept: Column) -> dict[str, Column]:
-    n = F.coalesce(F.size(lines), F.lit(0))
-    return {"n_lines": F.when(lines.isNull(), 0).otherwise(n).cast("long"), "n_dropped": F.when(lines.isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
+def _counts(lines: Column, kept: Column, names: tuple[str, str]) -> dict[str, Column]:
+    n = F.when(lines.isNull(), 0).otherwise(F.size(lines))
+    return {names[0]: n.cast("long"), names[1]: F.when(lines.isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
 
 
-def _by_broadcast(docs: DataFrame, found: DataFrame, site: str, text: str) -> DataFrame:
+def _by_broadcast(docs: DataFrame, found: DataFrame, site: str, text: str, counts: tuple[str, str]) -> DataFrame:
     by_site = found.groupBy(F.col("site").alias("_site")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
     joined = docs.join(F.broadcast(by_site), F.col(site).eqNullSafe(F.col("_site")), "left")
     lines = _lines(F.col(text))
     kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _hash(x))))
-    joined = joined.withColumn("_kept", kept).withColumns(_counts(lines, F.col("_kept")))
-    joined = joined.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return joined.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    joined = joined.withColumn("_kept", kept).withColumns(_counts(lines, F.col("_kept"), counts))
+    joined = joined.withColumn(text, F.when(F.col(counts[1]) > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
+    return joined.select(*docs.columns, *(c for c in counts if c not in docs.columns))
 
 
-def _by_join(docs: DataFrame, found: DataFrame, site: str, text: str) -> DataFrame:
+def _by_join(docs: DataFrame, found: DataFrame, site: str, text: str, counts: tuple[str, str]) -> DataFrame:
     """For more lines than can be broadcast: every line is looked up by its hash, pages are put together again."""
     rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
     each = rows.select("_row", F.col(site).alias("_site"), F.posexplode(_lines(F.col(text))).alias("_at", "_line"))
@@ -93,9 +93,9 @@ def _by_join(docs: DataFrame, found: DataFrame, site: str, text: str) -> DataFra
     joined = rows.join(whole, "_row", "left")
     joined = joined.withColumns(
         {
-            "n_lines": F.coalesce("_n", F.lit(0)).cast("long"),
-            "n_dropped": F.when(F.col("_n").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long"),
+            counts[0]: F.coalesce("_n", F.lit(0)).cast("long"),
+            counts[1]: F.when(F.col("_n").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long"),
         }
     )
-    joined = joined.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join(F.col("_kept._line"), "\n")).otherwise(F.col(text)))
-    return joined.select(*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns))
+    joined = joined.withColumn(text, F.when(F.col(counts[1]) > 0, F.array_join(F.col("_kept._line"), "\n")).otherwise(F.col(text)))
+    return joined.select(*docs.columns, *(c for c in counts if c not in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import audio, bottomk, language_id, line_dedup, mixing, packing, secret_scan, token_counts, url_cascade
+from quillmark.llm import audio, bottomk, language_id, line_dedup, minmax_dedup, mixing, packing, secret_scan, token_counts, url_cascade
 from quillmark.llm.shared import tokenizer_file, tokenizer_pattern
 
 
@@ -26,6 +26,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minmax_dedup.near_groups(docs, width=2, percent=80)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, path=tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"])
@@ -94,6 +99,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_near_dedup": op3_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_fingerprints": op5_fingerprints,
     "op6_line_dedup": op6_line_dedup,

@@ -1 +1,6 @@
+"""Registered queries; importing this package fills the registry."""
 
+from quillmark.plans import relational, streams, texts
+from quillmark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational", "streams", "texts"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import audio, bottomk, language_id, line_dedup, minmax_dedup, mixing, packing, secret_scan, token_counts, url_cascade
+from quillmark.llm.oracles import ORACLE_SQL
 from quillmark.llm.shared import tokenizer_file, tokenizer_pattern
 
 
@@ -109,4 +110,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.text import let
+
 
 def islands(rows: DataFrame, on: Sequence[str], at: str, gap: int = 1) -> DataFrame:
     """(on, first, last, n) of runs whose neighbours are at most ``gap`` apart."""
@@ -40,23 +42,28 @@ def first_mode(rows: DataFrame, on: Sequence[str], value: str, order: str) -> Da
 
 
 def shingles(text: Column, k: int) -> Column:
-    """All substrings of k characters, in order."""
+    """All substrings of k characters, in order; linear in the text, unlike substrings by position."""
     last = F.length(text) - k + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda chars: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(k)), ""))
+    return F.when(last >= 1, let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), grams)).otherwise(F.array().cast("array<string>"))
 
 
 def anchors(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k: int = 8, most: int = 8) -> DataFrame:
     """(a_key, b_key, n, first_a, first_b): shared k-grams of two tables that occur ``most`` times or fewer in each.
 
-    Common k-grams are removed by counts before the join, so no key is large.
+    ``a`` is the smaller table. Grams of ``b`` that ``a`` lacks go first, then common
+    ones by counts, so no key of the last join is large.
     """
 
     def grams(t, key, side):
-        each = t.select(F.col(key), F.posexplode(shingles(F.col(text), k)).alias(f"at_{side}", "gram"))
-        rare = each.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("gram")
-        return each.join(rare, "gram", "left_semi")
+        return t.select(F.col(key), F.posexplode(shingles(F.col(text), k)).alias(f"at_{side}", "gram"))
+
+    def rare(each):
+        few = each.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("gram")
+        return each.join(few, "gram", "left_semi")
 
-    met = grams(a, a_key, "a").join(grams(b, b_key, "b"), "gram")
+    ours = grams(a, a_key, "a")
+    met = rare(ours).join(rare(grams(b, b_key, "b").join(ours.select("gram").distinct(), "gram", "left_semi")), "gram")
     return met.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("n"), F.min("at_a").alias("first_a"), F.min("at_b").alias("first_b"))
 
 

@@ -357,8 +357,8 @@ def q_dehyphenate_concat(spark, folder):
     return sequences.joined_lines(c.select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
 
 
-@query("""with a as (select item_id, at, gram from (select item_id, unnest(range(1, length(text) - 18)) as at, text from benchmark), lateral (select substr(text, at, 20) as gram)),
-b as (select doc_id, at, gram from (select doc_id, unnest(range(1, length(text) - 18)) as at, text from documents), lateral (select substr(text, at, 20) as gram)),
+@query("""with a as (select item_id, substr(text, pos, 20) as gram from (select item_id, unnest(range(1, length(text) - 18)) as pos, text from benchmark)),
+b as (select doc_id, substr(text, pos, 20) as gram from (select doc_id, unnest(range(1, length(text) - 18)) as pos, text from documents)),
 ra as (select gram from a group by 1 having count(*) <= 8), rb as (select gram from b group by 1 having count(*) <= 8)
 select item_id, doc_id, count(*) as n from a join b using (gram) where gram in (select gram from ra) and gram in (select gram from rb) group by 1, 2""")
 def q_kgram_anchors(spark, folder):
@@ -435,9 +435,11 @@ p as (select a.l_orderkey, a.l_linenumber as one, b.l_linenumber as other, great
 from b a join b on a.l_orderkey = b.l_orderkey and a.l_linenumber < b.l_linenumber) select l_orderkey, one, other, round(both_ / (sum_ - both_), 6) as iou from p where both_ / (sum_ - both_) >= 0.5""")
 def q_iou_pairs(spark, folder):
     li = Tables(spark, folder).lineitem.selectExpr("l_orderkey", "l_linenumber", "cast(l_suppkey % 50 as double) x0", "cast(l_partkey % 50 as double) y0", "cast(l_suppkey % 50 + l_quantity as double) x1", "cast(l_partkey % 50 + 30 as double) y1")
-    iou = lambda a, b: geometry.box_iou(a, b)
-    found = links.near_in_sequence(li, on=["l_orderkey"], order="l_linenumber", within=7, condition=lambda a, b: iou(a, b) >= 0.5)
-    return found.select(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_linenumber").alias("one"), F.col("b.l_linenumber").alias("other"), F.round(iou(F.col("a"), F.col("b")), 6).alias("iou"))
+    box = F.struct("x0", "y0", "x1", "y1")  # an order has a few lines, so its pairs are few
+    a = li.select("l_orderkey", F.col("l_linenumber").alias("one"), box.alias("a"))
+    b = li.select("l_orderkey", F.col("l_linenumber").alias("other"), box.alias("b"))
+    paired = a.join(b, "l_orderkey").where("one < other").withColumn("iou", geometry.box_iou(F.col("a"), F.col("b")))
+    return paired.where("iou >= 0.5").select("l_orderkey", "one", "other", F.round("iou", 6).alias("iou"))
 
 
 @query("""select label, vec_id, n from (select label, vec_id, count(*) over (partition by label) as n, row_number() over (partition by label order by list_sum(list_transform(embedding, lambda x: x::double * x::double)) desc, vec_id) as rn from embeddings) where rn = 1""")

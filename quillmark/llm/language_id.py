@@ -110,7 +110,8 @@ class OneVersusOne:
         n = len(self.classes)
         if n == 1:
             return np.zeros(len(x), int), np.ones(len(x))
-        margins = x @ self.weights[:, :-1].T + self.weights[:, -1]
+        # one product a row: a matrix product's last digits would depend on the rows beside it
+        margins = np.array([[w[:-1] @ row + w[-1] for w in self.weights] for row in x])
         votes, sums, least = np.zeros((len(x), n)), np.zeros((len(x), n)), np.full((len(x), n), np.inf)
         for p, (a, b) in enumerate(combinations(range(n), 2)):
             m = margins[:, p].astype(np.float64)

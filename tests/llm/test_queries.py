@@ -1,0 +1,61 @@
+"""The registered queries over whole tables of the small set, and the pipeline against brute force."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+import oracle
+
+from quillmark.llm import language_id, line_dedup
+from quillmark.llm.oracles import ORACLE_SQL
+from quillmark.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_names_are_one_for_each_operator():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, name):
+    assert oracle.difference(QUERIES[name](spark, SMALL), oracle.tables(SMALL), ORACLE_SQL[name]) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_whole_tables(spark, name):
+    rows = QUERIES[name](spark, SMALL)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert rows.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline as C
+    from test_line_dedup import brute as lines_brute
+    from test_minmax import brute as near_brute
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    junk = spark.createDataFrame([(10_001, None, "en", "src0", 0), (10_002, "123 ...", "en", "src1", 7)], docs.schema)
+    stages = dict(C.STAGES)
+    assert list(stages) == ["language ID", "line dedup", "near dedup", "mixing", "packing"]
+
+    first = stages["language ID"](spark, docs.unionAll(junk), SMALL)
+    kept = {r.doc_id: r.text for r in first.collect()}
+    assert first.columns == docs.columns and set(kept) == {r.doc_id for r in docs.collect()}
+
+    second = stages["line dedup"](spark, first, SMALL)
+    want = {d: t for d, _, _, t in lines_brute([(r.doc_id, r.source, r.text) for r in first.collect()], line_dedup.RATIO, line_dedup.LEAST_PAGES)}
+    got = second.collect()
+    assert second.columns == docs.columns and {r.doc_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+    third = stages["near dedup"](spark, second, SMALL)
+    want = {d for d, (_, _, k) in near_brute([(r.doc_id, r.text) for r in got], 5, 80).items() if k}
+    assert third.columns == docs.columns and {r.doc_id for r in third.collect()} == want
+
+    fourth = stages["mixing"](spark, third, SMALL)
+    assert fourth.columns == docs.columns and {r.doc_id for r in fourth.select("doc_id").collect()} <= want
+    pieces = stages["packing"](spark, fourth, SMALL).collect()
+    assert {p.doc_id for p in pieces} == {r.doc_id for r in fourth.select("doc_id").collect()}
+    assert language_id.UNDETERMINED == "und"

@@ -2,16 +2,17 @@
 
 1. One pass makes each document's shingle set, its hash and min-max signature.
    Documents of equal sets are a class; from here on classes stand for documents.
-2. Signatures are banded. In each bucket every class is paired with the one before
-   it (large buckets in salted runs), and of its partners the one met in
-   most bands is confirmed on full sets. That joins nearly all of a group with about one
-   check a class, however large the group is.
-3. Buckets that still hold several components are searched exhaustively, in blocks of
-   bounded size: pairs of different components whose sizes and signatures allow
-   the similarity are listed, each in the first band it shares. Then the best pair of
-   each component is confirmed, twice, and finally all pairs between
-   components that are left. So every pair that shares a band and is not known to be
-   in one component is confirmed; none is dropped for the size of its group.
+2. Signatures are banded. In each bucket every class is paired with the one next
+   to it in a drawn order (large buckets in salted runs); of its partners each component
+   has the one of the most similar signature confirmed on full sets. Some rounds of
+   this, over the buckets that still hold several components, join nearly all of a group
+   with a few checks a class, however large the group is.
+3. What buckets still hold besides their commonest component is compared with all of
+   the bucket, in blocks of bounded size: pairs of different components whose sizes and
+   signatures allow the similarity are confirmed on full sets right there, each in the first
+   band it shares. A block gives only the links that join its components. So every
+   pair that shares a band and is not known to be in one component is confirmed; none
+   is dropped for the size of its group, and no pairs are listed.
 
 Two texts at the least similarity share no band with a chance of (1 - s^ROWS)^BANDS,
 about 1e-7 at 0.8. Texts are shuffled only for classes that share a bucket with another.
@@ -32,9 +33,10 @@ WIDTH = 5  # words of a shingle
 PERCENT = 80  # least 100 * intersection / union
 ROWS, BANDS = 5, 40  # ROWS * BANDS values are the minima and maxima of half as many permutations
 #: Signatures agree in a share that scatters by 0.03 or less around the resemblance.
-MARGIN = 0.14
+MARGIN = 0.12
 RUN_ROWS = 10_000  # of a bucket chained in one task
 BLOCK_ROWS = 256  # of a bucket compared with each other in one task
+CHAINS = 2  # rounds of chained pairs before buckets are searched exhaustively
 BROADCAST_IDS = 1_000_000
 
 
@@ -93,57 +95,121 @@ def _relabel(labels: DataFrame, links: DataFrame, block: int) -> DataFrame:
     return stash(moved.select("id", F.coalesce("_to", "comp").alias("comp")), "near-labels")
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of each bucket dealt to blocks (i, j) of two parts at most, so that any two rows of it meet in one."""
-    parts = F.ceil(F.col("members") / block_rows).cast("int")
-    dealt = rows.withColumn("_parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-    other = dealt.withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
-    return other.withColumns({"i": F.least("part", "_other"), "j": F.greatest("part", "_other")}).drop("_other", "_parts")
-
-
-def _compare(percent: int, margin: float):
-    """For rows sorted by block: pairs of different components that sizes and signatures allow, in their first shared band."""
-    least = percent / 100 - margin
-
-    def pairs_of(block, np=np):
-        sig, n, comp, ids, part = block["sig"], block["n"], block["comp"], block["id"], block["part"]
-        band, across = block["band"], block["i"] != block["j"]
-        for x in range(len(ids) - 1):
-            at = np.flatnonzero((comp[x + 1 :] != comp[x]) & ((part[x + 1 :] != part[x]) == across)) + x + 1
-            at = at[100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x])]
-            if not len(at):
-                continue
-            same = sig[at] == sig[x]
-            share = same.mean(1)
-            first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
-            for k in np.flatnonzero((share >= least) & (first == band)):
-                y = at[k]
-                yield (ids[x], ids[y], float(share[k])) if ids[x] < ids[y] else (ids[y], ids[x], float(share[k]))
+def _shares(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb, share) of pairs (a, b, ca, cb, sa, sb) whose signatures agree in at least ``least`` of their values."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
-        held, out = [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (4, 5))
+            share = (one == two).mean(1)
+            at = np.flatnonzero(share >= least)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(4)), pa.array(share[at])], names=["a", "b", "ca", "cb", "share"])
+
+    return pairs.select("a", "b", "ca", "cb", "sa", "sb").mapInArrow(run, "a long, b long, ca long, cb long, share double")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, ca, cb, share) the best of each component, once each."""
+    pair = F.struct("share", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sides = pairs.select(F.col("ca").alias("side"), pair.alias("pair")).unionAll(pairs.select(F.col("cb").alias("side"), pair.alias("pair")))
+    return sides.groupBy("side").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with their comp."""
+    labelled = buckets.join(labels, "id")
+    mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
+    return labelled.join(mixed, ["band", "bucket"])
+
 
-        def flush():
-            if len(held) > 1:
-                block = {k: np.array([r[k] for r in held]) for k in ("n", "comp", "id", "part")}
-                block |= {"sig": np.stack([np.frombuffer(r["sig"], "<u2") for r in held]), "band": held[0]["band"], "i": held[0]["i"], "j": held[0]["j"]}
-                out.extend(pairs_of(block))
-            held.clear()
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of each bucket dealt to blocks (i, j): in each, few rows (``few``) meet a part of all.
+
+    The bucket's commonest component is left out of the few, as its rows need not
+    meet each other. The few of group i meet all rows of part j, so a large component with
+    some strangers is copied once for each ``block_rows`` of the strangers.
+    """
+    per_comp = rows.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = per_comp.groupBy("band", "bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"))
+    main = main.select("band", "bucket", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all")
+    dealt = rows.join(main, ["band", "bucket"])
+    groups, parts = (F.ceil(F.col(c) / block_rows).cast("int") for c in ("others", "all"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    as_all = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.struct(i.alias("i"), part(parts).alias("j"), F.lit(False).alias("few")))
+    as_few = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(part(groups).alias("i"), j.alias("j"), F.lit(True).alias("few")))
+    both = F.when(F.col("comp") == F.col("main"), as_all).otherwise(F.concat(as_all, as_few))
+    return dealt.withColumn("_at", F.explode(both)).select("band", "bucket", "_at.i", "_at.j", "_at.few", "id", "comp", "main")
+
+
+def _links(width: int, percent: int, least: float):
+    """For rows sorted by block: confirmed links (a, b) that join components within the block.
+
+    A pair is tried in the first band it shares, if sizes and signatures allow it and
+    no chain of links of this block joins its components already.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingler = Shingler(width)
+        held: list[dict] = []
+
+        def links():
+            sides = [[r for r in held if r["few"] == few] for few in (True, False)]
+            if not all(sides):
+                return
+            few, all_ = sides
+            sig = np.stack([np.frombuffer(r["sig"], "<u2") for r in all_])
+            n, comp, ids = (np.array([r[k] for r in all_]) for k in ("n", "comp", "id"))
+            band, main, sets, parent = held[0]["band"], held[0]["main"], {}, {}
+
+            def root(c):
+                while (p := parent.get(c, c)) != c:
+                    c = p
+                return c
+
+            def set_of(row):
+                if row["id"] not in sets:
+                    sets[row["id"]] = shingler.set_of(row["text"])
+                return sets[row["id"]]
+
+            for r in few:
+                # two rows outside the main component meet twice; the lesser id asks
+                size = r["n"]
+                at = np.flatnonzero((comp != r["comp"]) & ((comp == main) | (ids > r["id"])) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+                if not len(at):
+                    continue
+                same = sig[at] == np.frombuffer(r["sig"], "<u2")
+                share = same.mean(1)
+                first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
+                likely = np.flatnonzero((share >= least) & (first == band))
+                for k in likely[np.argsort(-share[likely], kind="stable")]:
+                    other = all_[at[k]]
+                    ca, cb = root(r["comp"]), root(other["comp"])
+                    if ca == cb:
+                        continue
+                    mine, its = set_of(r), set_of(other)
+                    both = len(np.intersect1d(mine, its, assume_unique=True))
+                    if both and 100 * both >= percent * (len(mine) + len(its) - both):
+                        parent[ca] = cb
+                        yield r["id"], other["id"]
+
+        def batch_of(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
                 if held and any(row[k] != held[0][k] for k in ("bucket", "band", "i", "j")):
-                    flush()
+                    if pairs := list(links()):
+                        yield batch_of(pairs)
+                    held.clear()
                 held.append(row)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
-                out.clear()
-        flush()
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
+        if held and (pairs := list(links())):
+            yield batch_of(pairs)
 
     return run
 
@@ -178,33 +244,28 @@ def near_groups(
     small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
     texts = stash(bodies.join(F.broadcast(ids) if small else ids, "id", "left_semi"), "near-texts")
 
-    salt = F.pmod(F.xxhash64("bucket", "id"), F.ceil(F.col("members") / run_rows))
-    before = Window.partitionBy("band", "bucket", salt).orderBy("id")
-    chained = buckets.select(F.lag("id").over(before).alias("a"), F.col("id").alias("b")).where("a <> b")
-    often = chained.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
-    best = often.groupBy("b").agg(F.max(F.struct("met", "a"))["a"].alias("a"))
+    sized = rows.select("id", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"))
+    sigs = stash(sized.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"]), "near-sigs")
+
+    least = percent / 100 - MARGIN
     labels = stash(ids.select("id", F.col("id").alias("comp")), "near-labels")
-    labels = _relabel(labels, confirmed(best, texts, width=width, percent=percent), edge_block)
+    for n in range(CHAINS):
+        open_rows = (_mixed(buckets, labels) if n else buckets.withColumn("comp", F.col("id"))).join(sigs.select("id", "sig"), "id")
+        salt = F.pmod(F.xxhash64(F.lit(n), "bucket", "id"), F.ceil(F.col("members") / run_rows))
+        before = Window.partitionBy("band", "bucket", salt).orderBy(F.xxhash64(F.lit(n), "band", "id"), "id")
+        chained = open_rows.select(F.lag(F.struct("id", "comp", "sig")).over(before).alias("p"), "id", "comp", "sig").where("p.comp <> comp")
+        pairs = chained.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.comp").alias("ca"), F.col("comp").alias("cb"), F.col("p.sig").alias("sa"), F.col("sig").alias("sb"))
+        links = confirmed(stash(_best(_shares(pairs, least)), "near-chosen"), texts, width=width, percent=percent)
+        if links.isEmpty():
+            break
+        labels = _relabel(labels, links, edge_block)
 
-    labelled = buckets.join(labels, "id")
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
-    open_rows = labelled.join(mixed, ["band", "bucket"]).join(rows.select("id", F.col("n_shingles").alias("n"), F.col("signature").alias("sig")), "id")
-    dealt = _blocks(open_rows, block_rows).select("bucket", "band", "i", "j", "part", "id", "comp", "n", "sig")
     block = ("band", "bucket", "i", "j")
-    sorted_rows = dealt.repartition(*block).sortWithinPartitions(*block)
-    listed = stash(sorted_rows.mapInArrow(_compare(percent, MARGIN), "a long, b long, share double").distinct(), "near-pairs")
-
-    for last in (False, False, True):
-        ca, cb = (labels.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
-        apart = listed.join(ca, "a").join(cb, "b").where("ca <> cb")
-        if last:
-            chosen = apart.select("a", "b")
-        else:
-            sides = apart.select(F.explode(F.array("ca", "cb")).alias("side"), F.struct("share", "a", "b").alias("pair"))
-            chosen = sides.groupBy("side").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-        links = confirmed(stash(chosen, "near-chosen"), texts, width=width, percent=percent)
-        if not links.isEmpty():
-            labels = _relabel(labels, links, edge_block)
+    dealt = _blocks(_mixed(buckets, labels), block_rows).join(sigs, "id").join(texts.dropDuplicates(["id"]), "id")
+    sorted_rows = dealt.select(*block, "few", "id", "comp", "main", "n", "sig", "text").repartition(*block).sortWithinPartitions(*block)
+    links = stash(sorted_rows.mapInArrow(_links(width, percent, least), "a long, b long"), "near-links")
+    if not links.isEmpty():
+        labels = _relabel(labels, links, edge_block)
 
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     placed = labels.join(least, "comp").select(F.col("id").alias("rep"), "component_id")

@@ -35,7 +35,7 @@ ROWS, BANDS = 5, 40  # ROWS * BANDS values are the minima and maxima of half as
 #: Signatures agree in a share that scatters by 0.03 or less around the resemblance.
 MARGIN = 0.12
 RUN_ROWS = 10_000  # of a bucket chained in one task
-BLOCK_ROWS = 256  # of a bucket compared with each other in one task
+BLOCK_ROWS = 1024  # of a bucket compared with each other in one task
 CHAINS = 2  # rounds of chained pairs before buckets are searched exhaustively
 BROADCAST_IDS = 1_000_000
 

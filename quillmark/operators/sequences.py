@@ -77,7 +77,7 @@ def label_spread(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
 
     Pre-aggregated: a node's neighbours are never collected, only their least label is kept.
     """
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     labels = labels.checkpoint()
     for _ in range(rounds):

@@ -114,6 +114,7 @@ keys as (select distinct o.o_orderkey as record, c.c_custkey as work from orders
 select record, work, 'id' as method, 1.0::double as confidence from ids union all
 select record, work, 'key', 0.7::double from keys k where not exists (select 1 from ids i where i.record = k.record and i.work = k.work)""")
 def q_two_method_crosswalk(spark, folder):
+    """Ids of every second order and keys of every fifth only, as its SQL; q_two_method_crosswalk_whole is over all orders."""
     t = Tables(spark, folder)
     ids = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("work"))
     some = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("record"), (F.col("o_custkey") % 50).alias("k"))
@@ -121,6 +122,19 @@ def q_two_method_crosswalk(spark, folder):
     return links.two_method_links(ids, keys, "record", "work")
 
 
+@query("""with ids as (select distinct o_orderkey as record, o_custkey as work from orders),
+keys as (select distinct o.o_orderkey as record, c.c_custkey as work from orders o join customer c on o.o_custkey // 8 = c.c_custkey // 8 and c.c_mktsegment = 'BUILDING')
+select record, work, 'id' as method, 1.0::double as confidence from ids union all
+select record, work, 'key', 0.7::double from keys k where not exists (select 1 from ids i where i.record = k.record and i.work = k.work)""")
+def q_two_method_crosswalk_whole(spark, folder):
+    """Every order's link by id, and by a key of eight customers; no order is left out, and a key's customers do not grow with the table."""
+    t = Tables(spark, folder)
+    ids = t.orders.select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("work"))
+    cell = t.customer.where("c_mktsegment = 'BUILDING'").select(F.expr("c_custkey div 8").alias("k"), F.col("c_custkey").alias("work"))
+    keys = t.orders.select(F.col("o_orderkey").alias("record"), F.expr("o_custkey div 8").alias("k")).join(cell, "k")
+    return links.two_method_links(ids, keys, "record", "work")
+
+
 @query("select o_custkey as record, max(o_totalprice) as confidence, arg_min(o_orderkey, struct_pack(a := -o_totalprice, b := o_orderkey)) as work from orders group by 1")
 def q_best_link(spark, folder):
     rows = Tables(spark, folder).orders.select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("work"), F.col("o_totalprice").alias("confidence"))
@@ -211,19 +225,33 @@ def q_band_pairs_greedy(spark, folder):
     return links.exclusive_pairs(pairs, block=["block"], a="one", b="other", score="score")
 
 
-@query("""with recursive e as (select distinct l_suppkey as a, 100000 + l_partkey % 997 as b from lineitem where l_orderkey % 50 = 0), s as (select a, b from e union select b, a from e),
-c(node, comp) as (select a, a from s union select s.b, c.comp from c join s on s.a = c.node where c.comp < s.b)
-select node, min(comp) as component from c group by node""")
-def q_connected_components(spark, folder):
-    """Suppliers and part groups that the lines of every fiftieth order connect (the relation is a fiftieth; all of it is used)."""
+def _checkpoints(spark):
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-"))
-    edges = Tables(spark, folder).lineitem.where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("a"), (F.lit(100000) + F.col("l_partkey") % 997).alias("b"))
-    return sequences.label_spread(edges)
+
+
+def _supply_edges(lines):
+    return lines.select(F.col("l_suppkey").alias("a"), (F.lit(100000) + F.col("l_partkey") % 997).alias("b"))
+
+
+@query("""with recursive e as (select distinct l_suppkey as a, 100000 + l_partkey % 997 as b from lineitem where l_orderkey % 50 = 0), s as (select a, b from e union select b, a from e),
+c(node, comp) as (select a, a from s union select s.b, c.comp from c join s on s.a = c.node where c.comp < s.b)
+select node, min(comp) as component from c group by node""")
+def q_connected_components(spark, folder):
+    """Components over the lines of every fiftieth order only, as its SQL; q_connected_components_whole is over all lines."""
+    _checkpoints(spark)
+    return sequences.label_spread(_supply_edges(Tables(spark, folder).lineitem.where("l_orderkey % 50 = 0")))
+
+
+@query()
+def q_connected_components_whole(spark, folder):
+    """Suppliers and part groups that any line connects; recursive SQL would list every node beside every label it meets, so tests hold it against union-find."""
+    _checkpoints(spark)
+    return sequences.label_spread(_supply_edges(Tables(spark, folder).lineitem))
 
 
 @query("""with m as (select doc_id from labels where toxic = 1), e as (select doc_id from documents where contains(lower(text), 'license'))

@@ -96,6 +96,54 @@ def exclusive_pairs(pairs: DataFrame, *, block: Sequence[str], a: str, b: str, s
     return pairs.groupBy(*block).applyInPandas(run, pairs.schema)
 
 
+def greedy_matching(pairs: DataFrame, a: str, b: str, score: str, *, rest: int = 50_000) -> DataFrame:
+    """(a, b, score): greedy one-to-one pairs of one set, best score first (ties by a, then b); an id stands in one pair, on either side.
+
+    A pair that is the best of both its ids is one that the greedy order takes, so
+    all such pairs are taken at once, their ids leave, and the rest goes on until
+    no pair is left: the same pairs as one by one, without a block in one task. The last
+    ``rest`` pairs, counted first, are matched in order in one task. Needs a checkpoint folder.
+    """
+    live = pairs.select(a, b, score).where(F.col(a) != F.col(b)).checkpoint()
+    kept = []
+    edge = F.struct(F.col(score).alias("s"), (-F.col(a)).alias("x"), (-F.col(b)).alias("y"))
+    while (left := live.count()) > rest:
+        ends = live.select(F.explode(F.array(a, b)).alias("_id"), edge.alias("_edge"))
+        best = ends.groupBy("_id").agg(F.max("_edge").alias("_edge"))
+        won = best.groupBy("_edge").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
+        won = won.select((-F.col("_edge.x")).alias(a), (-F.col("_edge.y")).alias(b), F.col("_edge.s").alias(score)).checkpoint()
+        gone = won.select(F.explode(F.array(a, b)).alias("_id"))
+        live = live.join(gone, F.col(a) == F.col("_id"), "left_anti").join(gone, F.col(b) == F.col("_id"), "left_anti").checkpoint()
+        kept.append(won)
+
+    def in_order(pdf):
+        taken, keep = set(), []
+        pdf = pdf.sort_values([score, a, b], ascending=[False, True, True], kind="stable")
+        for i, (x, y) in enumerate(zip(pdf[a], pdf[b], strict=True)):
+            if x not in taken and y not in taken:
+                taken.update((x, y)), keep.append(i)
+        return pdf.iloc[keep]
+
+    out = live.groupBy().applyInPandas(in_order, live.schema) if left else live
+    for won in kept:
+        out = out.unionAll(won)
+    return out
+
+
+def within_tolerance(rows: DataFrame, *, on: Sequence[str], key: str, value: str, least: float, share: float = 0.0) -> DataFrame:
+    """(one, other, apart): all pairs of a group, one < other, whose values differ by ``least`` or ``share`` of the greater at most.
+
+    A range join on cells of ``least`` width, so the pairs met are near the pairs found.
+    """
+    reach = F.greatest(F.col(value) + least, F.col(value) / (1 - share)) + 1
+    low = rows.select(*on, F.col(key).alias("_k1"), F.col(value).alias("_v1"), reach.alias("_reach"))
+    high = rows.select(*on, F.col(key).alias("_k2"), F.col(value).alias("_v2"))
+    near = F.abs(F.col("_v1") - F.col("_v2")) <= F.greatest(F.lit(least), F.greatest("_v1", "_v2") * share)
+    once = (F.col("_v1") < F.col("_v2")) | (F.col("_k1") < F.col("_k2"))
+    found = in_range(high, low, on=on, at="_v2", lo="_v1", hi="_reach", width=least, extra=near & once)
+    return found.select(F.least("_k1", "_k2").alias("one"), F.greatest("_k1", "_k2").alias("other"), F.abs(F.col("_v1") - F.col("_v2")).alias("apart"))
+
+
 def near_in_sequence(rows: DataFrame, *, on: Sequence[str], order: str, within: int, condition) -> DataFrame:
     """Pairs of a row and one of the next ``within`` rows of its group that ``condition(a, b)`` holds for.
 

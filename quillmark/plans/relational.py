@@ -209,20 +209,26 @@ def q_as_of_join(spark, folder):
 @query("""with r as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_orderpriority, o_orderstatus order by o_orderkey) as pos, o_orderpriority, o_orderstatus from orders)
 select a.o_orderkey as one, b.o_orderkey as other from r a join r b on a.o_orderpriority = b.o_orderpriority and a.o_orderstatus = b.o_orderstatus and b.pos between a.pos + 1 and a.pos + 8 and abs(a.o_totalprice - b.o_totalprice) <= greatest(1024, 0.001 * greatest(a.o_totalprice, b.o_totalprice))""")
 def q_band_pairs(spark, folder):
+    """Pairs of an order and one of the next eight by order key, as its SQL; q_band_pairs_whole has all partners."""
     o = Tables(spark, folder).orders.select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
     near = lambda a, b: F.abs(a["o_totalprice"] - b["o_totalprice"]) <= F.greatest(F.lit(1024.0), F.greatest(a["o_totalprice"], b["o_totalprice"]) * 0.001)
     found = links.near_in_sequence(o, on=["o_orderpriority", "o_orderstatus"], order="o_orderkey", within=8, condition=near)
     return found.select(F.col("a.o_orderkey").alias("one"), F.col("b.o_orderkey").alias("other"))
 
 
+@query("""select a.o_orderkey as one, b.o_orderkey as other from orders a join orders b on a.o_orderpriority = b.o_orderpriority and a.o_orderstatus = b.o_orderstatus and a.o_orderkey < b.o_orderkey
+and abs(a.o_totalprice - b.o_totalprice) <= greatest(1024, 0.001 * greatest(a.o_totalprice, b.o_totalprice))""")
+def q_band_pairs_whole(spark, folder):
+    """All pairs of a priority and status whose prices are within the tolerance; they are as many as the prices are dense."""
+    return links.within_tolerance(Tables(spark, folder).orders, on=["o_orderpriority", "o_orderstatus"], key="o_orderkey", value="o_totalprice", least=1024, share=0.001).select("one", "other")
+
+
 @query()
 def q_band_pairs_greedy(spark, folder):
-    """Greedy one-to-one matches of the band pairs, closest first."""
-    o = Tables(spark, folder).orders.select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
-    near = lambda a, b: F.abs(a["o_totalprice"] - b["o_totalprice"]) <= 1024
-    pairs = links.near_in_sequence(o, on=["o_orderpriority", "o_orderstatus"], order="o_orderkey", within=8, condition=near)
-    pairs = pairs.select((F.col("a.o_orderkey") % 64).alias("block"), F.col("a.o_orderkey").alias("one"), F.col("b.o_orderkey").alias("other"), (-F.abs(F.col("a.o_totalprice") - F.col("b.o_totalprice"))).alias("score"))
-    return links.exclusive_pairs(pairs, block=["block"], a="one", b="other", score="score")
+    """Greedy one-to-one matches of all pairs within 1024 of a priority and status, closest first; an order is in one pair at most."""
+    _checkpoints(spark)
+    pairs = links.within_tolerance(Tables(spark, folder).orders, on=["o_orderpriority", "o_orderstatus"], key="o_orderkey", value="o_totalprice", least=1024)
+    return links.greedy_matching(pairs.select("one", "other", (-F.col("apart")).alias("score")), "one", "other", "score")
 
 
 def _checkpoints(spark):

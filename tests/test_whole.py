@@ -2,6 +2,7 @@
 
 from conftest import SMALL
 
+from quillmark.operators import links as L
 from quillmark.plans import QUERIES
 
 
@@ -38,3 +39,37 @@ def test_crosswalk_links_every_order_and_key(spark):
     keys = {(o.o_orderkey, c) for o in orders for c in near.get(o.o_custkey // 8, [])} - ids
     found = {(r.record, r.work, r.method) for r in QUERIES["q_two_method_crosswalk_whole"](spark, SMALL).collect()}
     assert found == {(*p, "id") for p in ids} | {(*p, "key") for p in keys}
+
+
+def greedy(pairs):
+    taken, out = set(), set()
+    for score, a, b in sorted((-s, a, b) for a, b, s in pairs):
+        if a not in taken and b not in taken:
+            taken |= {a, b}
+            out.add((a, b, -score))
+    return out
+
+
+def test_band_pairs_are_those_of_the_whole_block(spark, tmp_path):
+    prices = [10.0, 1034.0, 1035.0, 10.0, 5_000_000.0, 5_005_005.0, 5_005_006.0, *(20_000.0 + 2000 * i for i in range(12)), 20_500.0]
+    rows = [(i, "1", "F", p) for i, p in enumerate(prices)] + [(100, "2", "F", 10.0), (101, "1", None, 10.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    for folder in (str(tmp_path), SMALL):
+        orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
+        block = [(a, b) for a in orders for b in orders if a.o_orderkey < b.o_orderkey and None not in (a.o_orderstatus, b.o_orderstatus) and (a.o_orderpriority, a.o_orderstatus) == (b.o_orderpriority, b.o_orderstatus)]
+        apart = lambda a, b: abs(a.o_totalprice - b.o_totalprice)
+        found = [(r.one, r.other) for r in QUERIES["q_band_pairs_whole"](spark, folder).collect()]
+        assert sorted(found) == sorted((a.o_orderkey, b.o_orderkey) for a, b in block if apart(a, b) <= max(1024, 0.001 * max(a.o_totalprice, b.o_totalprice)))
+        matched = {(r.one, r.other, r.score) for r in QUERIES["q_band_pairs_greedy"](spark, folder).collect()}
+        assert matched == greedy([(a.o_orderkey, b.o_orderkey, -apart(a, b)) for a, b in block if apart(a, b) <= 1024])
+
+
+def test_matching_in_rounds_is_the_matching_in_order(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = [(*sorted(rng.sample(range(60), 2)), float(rng.randint(0, 9))) for _ in range(400)]
+    pairs = sorted(set(pairs))
+    df = spark.createDataFrame(pairs, "a long, b long, s double")
+    for rest in (0, 50, 10_000):
+        assert {tuple(r) for r in L.greedy_matching(df, "a", "b", "s", rest=rest).collect()} == greedy(pairs)

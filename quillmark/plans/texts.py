@@ -117,17 +117,27 @@ def q_crc_shards(spark, folder):
 @query("""select a.item_id as one, b.item_id as other, cast(levenshtein(a.text, b.text) as int) as edits, round(1 - levenshtein(a.text, b.text)::double / greatest(length(a.text), length(b.text)), 6) as like_
 from benchmark a join benchmark b on b.item_id = a.item_id + 1 where regexp_full_match(a.text || b.text, '[\\x00-\\x7F]*')""")
 def q_levenshtein_pairs(spark, folder):
+    """Pairs of ASCII texts only, as its SQL, which counts bytes; q_levenshtein_pairs_whole has all pairs."""
     b = Tables(spark, folder).benchmark
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("text2"))
     pairs = b.join(other, "item_id").where(F.rlike(F.concat("text", "text2"), F.lit(r"^[\x00-\x7F]*$")))
     return pairs.select(F.col("item_id").alias("one"), "other", F.levenshtein("text", "text2").alias("edits"), F.round(text.similarity(F.col("text"), F.col("text2")), 6).alias("like_"))
 
 
+@query()
+def q_levenshtein_pairs_whole(spark, folder):
+    """Edits between each benchmark text and the next, in code points."""
+    b = Tables(spark, folder).benchmark
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("text2"))
+    return b.join(other, "item_id").select(F.col("item_id").alias("one"), "other", F.levenshtein("text", "text2").alias("edits"), F.round(text.similarity(F.col("text"), F.col("text2")), 6).alias("like_"))
+
+
 _TURNS = """with p as (select role, text as r, lead(text) over (partition by conv_id order by turn) as h from conversations), q as (select role, r, h, levenshtein(r, h) as e, length(r) as n from p where h is not null and regexp_full_match(r || h, '[\\x00-\\x7F]*'))"""
 
 
 @query(f"""{_TURNS} select role, round(cast(sum(e) as double) / sum(n), 6) as micro_cer, round(avg(case when n > 0 then e::double / n when e > 0 then 1 else 0 end), 6) as macro_cer, cast(sum(e) as bigint) as edits, cast(sum(n) as bigint) as chars, count(*) as lines from q group by 1""")
 def q_cer_micro_macro(spark, folder):
+    """Error rates over ASCII pairs only, as its SQL, which counts bytes; q_cer_micro_macro_whole is over all pairs."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = Tables(spark, folder).conversations.select("role", F.col("text").alias("r"), F.lead("text").over(w).alias("h"))
     c = c.where(F.col("h").isNotNull() & F.rlike(F.concat("r", "h"), F.lit(r"^[\x00-\x7F]*$")))
@@ -135,6 +145,15 @@ def q_cer_micro_macro(spark, folder):
     return rates.withColumns({k: F.round(k, 6) for k in ("micro_cer", "macro_cer")})
 
 
+@query()
+def q_cer_micro_macro_whole(spark, folder):
+    """Error rates between each turn and the next, in code points."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = Tables(spark, folder).conversations.select("role", F.col("text").alias("r"), F.lead("text").over(w).alias("h")).where("r is not null and h is not null")
+    rates = evaluation.error_rates(c, ["role"], "r", "h")
+    return rates.withColumns({k: F.round(k, 6) for k in ("micro_cer", "macro_cer")})
+
+
 @query()
 def q_word_edits(spark, folder):
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -146,7 +165,7 @@ def q_word_edits(spark, folder):
 def q_edit_mix(spark, folder):
     """Substitutions, insertions and deletions between neighbouring turns."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = Tables(spark, folder).conversations.select("role", F.substring("text", 1, 400).alias("r"), F.substring(F.lead("text").over(w), 1, 400).alias("h")).where("h is not null")
+    c = Tables(spark, folder).conversations.select("role", F.col("text").alias("r"), F.lead("text").over(w).alias("h")).where("h is not null")
     made = c.select("role", alignment.edit_counts("r", "h").alias("m"))
     return made.groupBy("role").agg(*(F.sum(f"m.{k}").alias(k) for k in ("subs", "inss", "dels")))
 

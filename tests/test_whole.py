@@ -1,7 +1,12 @@
 """Queries over all rows, against brute force."""
 
+import itertools
+import random
+
 from conftest import SMALL
 
+from quillmark.functions.unicode import edit_distance
+from quillmark.operators import alignment as A
 from quillmark.operators import links as L
 from quillmark.plans import QUERIES
 
@@ -65,11 +70,38 @@ def test_band_pairs_are_those_of_the_whole_block(spark, tmp_path):
 
 
 def test_matching_in_rounds_is_the_matching_in_order(spark):
-    import random
-
     rng = random.Random(2)
     pairs = [(*sorted(rng.sample(range(60), 2)), float(rng.randint(0, 9))) for _ in range(400)]
     pairs = sorted(set(pairs))
     df = spark.createDataFrame(pairs, "a long, b long, s double")
     for rest in (0, 50, 10_000):
         assert {tuple(r) for r in L.greedy_matching(df, "a", "b", "s", rest=rest).collect()} == greedy(pairs)
+
+
+def test_whole_texts_and_other_scripts_count(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["tür", "naïve", "plain", "日本", "word", "😀"]
+    turns = [(c, t, ("user", "bot")[t % 2], " ".join(rng.choices(words, k=n)) if n else "") for c in range(3) for t, n in enumerate((150, 140, 3, 0, 120))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, x[3]) for i, x in enumerate(turns)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = [(a[2], a[3], b[3], edit_distance(a[3], b[3])) for a, b in itertools.pairwise(turns) if a[0] == b[0]]
+    mix = {r.role: r for r in QUERIES["q_edit_mix"](spark, str(tmp_path)).collect()}
+    rates = {r.role: r for r in QUERIES["q_cer_micro_macro_whole"](spark, str(tmp_path)).collect()}
+    for role in ("user", "bot"):
+        own = [p[1:] for p in pairs if p[0] == role]
+        edits, chars = sum(e for _, _, e in own), sum(len(r) for r, _, _ in own)
+        assert mix[role].subs + mix[role].inss + mix[role].dels == edits and mix[role].inss - mix[role].dels == sum(len(h) - len(r) for r, h, _ in own)
+        assert (rates[role].edits, rates[role].chars, rates[role].lines, rates[role].micro_cer) == (edits, chars, len(own), round(edits / chars, 6))
+    found = sorted((r.one, r.other, r.edits) for r in QUERIES["q_levenshtein_pairs_whole"](spark, str(tmp_path)).collect())
+    assert found == [(i, i + 1, edit_distance(a[3], b[3])) for i, (a, b) in enumerate(itertools.pairwise(turns))]
+
+
+def test_scripts_beyond_the_cell_guard_cost_the_edit_distance():
+    rng = random.Random(5)
+    for most in (4, 30, 200, A.MOST_CELLS):
+        for _ in range(30):
+            a, b = ("".join(rng.choices("abé ", k=rng.randint(0, 40))) for _ in range(2))
+            ops = A.least_script(a, b, most)
+            assert sum(k != A.MATCH for k, _, _ in ops) == edit_distance(a, b)
+            assert [i for _, i, _ in ops if i >= 0] == list(range(len(a))) and [j for _, _, j in ops if j >= 0] == list(range(len(b)))
+            assert all((a[i] == b[j]) == (k == A.MATCH) for k, i, j in ops if i >= 0 and j >= 0)

@@ -52,7 +52,8 @@ def anchors(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k:
     """(a_key, b_key, n, first_a, first_b): shared k-grams of two tables that occur ``most`` times or fewer in each.
 
     ``a`` is the smaller table. Grams of ``b`` that ``a`` lacks go first, then common
-    ones by counts, so no key of the last join is large.
+    ones by counts, so no key of the last join is large. The counts are of whole tables, so what
+    many texts share gives no anchor; ``anchors_by_text`` counts within the texts of a pair.
     """
 
     def grams(t, key, side):
@@ -67,6 +68,30 @@ def anchors(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k:
     return met.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("n"), F.min("at_a").alias("first_a"), F.min("at_b").alias("first_b"))
 
 
+def anchors_by_text(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k: int = 8, most: int = 8, few: int = 200_000, parts: int = 16) -> DataFrame:
+    """(a_key, b_key, n, first_a, first_b): shared k-grams that occur ``most`` times or fewer in the shorter text of the pair (``a``'s on ties).
+
+    ``n`` counts pairs of places, as ``anchors`` does; a gram counts however many texts have it. Keys
+    are unique and not null. ``a`` is the smaller table: up to ``few`` grams of it, counted first, are broadcast, so
+    grams of ``b`` that ``a`` lacks are never dealt out; beyond that each stands in the join
+    ``parts`` times and a text of ``b`` meets one of them, so a frequent gram is dealt over ``parts`` keys.
+    """
+
+    def grams(t, key, side):
+        return t.select(F.col(key), F.length(text).alias(f"_len_{side}"), F.posexplode(shingles(F.col(text), k)).alias(f"_at_{side}", "gram"))
+
+    ours = grams(a, a_key, "a").groupBy(a_key, "_len_a", "gram").agg(F.count(F.lit(1)).alias("_n_a"), F.min("_at_a").alias("_at_a"))
+    theirs = grams(b, b_key, "b")
+    if ours.limit(few + 1).count() <= few:
+        met = theirs.join(F.broadcast(ours), "gram")
+    else:
+        dealt = ours.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = theirs.withColumn("_part", F.pmod(F.xxhash64(b_key), F.lit(parts)).cast("int")).join(dealt, ["gram", "_part"])
+    each = met.groupBy(a_key, b_key, "gram", "_len_a", "_len_b", "_n_a", "_at_a").agg(F.count(F.lit(1)).alias("_n_b"), F.min("_at_b").alias("_at_b"))
+    each = each.where(F.when(F.col("_len_a") <= F.col("_len_b"), F.col("_n_a")).otherwise(F.col("_n_b")) <= most)
+    return each.groupBy(a_key, b_key).agg(F.sum(F.col("_n_a") * F.col("_n_b")).alias("n"), F.min("_at_a").alias("first_a"), F.min("_at_b").alias("first_b"))
+
+
 def sessions(rows: DataFrame, on: Sequence[str], at: str, gap: str) -> DataFrame:
     """Session windows by a gap of event time."""
     return rows.groupBy(*on, F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*on, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

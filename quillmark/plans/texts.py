@@ -381,10 +381,18 @@ b as (select doc_id, substr(text, pos, 20) as gram from (select doc_id, unnest(r
 ra as (select gram from a group by 1 having count(*) <= 8), rb as (select gram from b group by 1 having count(*) <= 8)
 select item_id, doc_id, count(*) as n from a join b using (gram) where gram in (select gram from ra) and gram in (select gram from rb) group by 1, 2""")
 def q_kgram_anchors(spark, folder):
+    """Anchors of grams that are rare in both whole tables, as its SQL; q_kgram_anchors_whole keeps those that many texts share."""
     t = Tables(spark, folder)
     return sequences.anchors(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8).select("item_id", "doc_id", "n")
 
 
+@query()
+def q_kgram_anchors_whole(spark, folder):
+    """Anchors of all pairs of a benchmark passage and a document, by grams that are rare in the shorter of the two."""
+    t = Tables(spark, folder)
+    return sequences.anchors_by_text(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8).select("item_id", "doc_id", "n")
+
+
 @query(f"""with w as (select {_WORDS} as w from documents) select n, gram, count(*) as count from (
 select 1 as n, unnest(w) as gram from w union all select 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w) group by 1, 2""")
 def q_ngram_counts(spark, folder):
@@ -410,9 +418,9 @@ def q_project_lines(spark, folder):
 
 @query()
 def q_infix_distance(spark, folder):
-    """The cheapest place of each benchmark passage in the documents that share rare 20-grams with it."""
+    """The cheapest place of each benchmark passage in the documents that share a 20-gram with it that is rare in the shorter."""
     t = Tables(spark, folder)
-    met = sequences.anchors(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8)
+    met = sequences.anchors_by_text(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8)
     pairs = met.select("item_id", "doc_id").join(t.benchmark, "item_id").join(t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
     return pairs.select("item_id", "doc_id", alignment.infix("text", "body").alias("p")).select("item_id", "doc_id", "p.*")
 

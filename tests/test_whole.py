@@ -2,12 +2,14 @@
 
 import itertools
 import random
+from collections import Counter
 
 from conftest import SMALL
 
 from quillmark.functions.unicode import edit_distance
 from quillmark.operators import alignment as A
 from quillmark.operators import links as L
+from quillmark.operators import sequences as S
 from quillmark.plans import QUERIES
 
 
@@ -105,3 +107,25 @@ def test_scripts_beyond_the_cell_guard_cost_the_edit_distance():
             assert sum(k != A.MATCH for k, _, _ in ops) == edit_distance(a, b)
             assert [i for _, i, _ in ops if i >= 0] == list(range(len(a))) and [j for _, _, j in ops if j >= 0] == list(range(len(b)))
             assert all((a[i] == b[j]) == (k == A.MATCH) for k, i, j in ops if i >= 0 and j >= 0)
+
+
+def test_a_passage_in_many_documents_keeps_its_anchors(spark, tmp_path):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choices("abcdefghij klmé", k=n))
+    passages = [make(60), make(50), "x" * 40, make(10)]
+    docs = [make(30) + passages[0] + make(i) for i in range(12)] + [passages[1] * 10, passages[1][:25] + make(20), "x" * 90, "", None, passages[0][:22]]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, a in enumerate(passages):
+        for j, b in enumerate(docs):
+            x, y = (Counter(t[p : p + 20] for p in range(len(t) - 19)) for t in (a, b or ""))
+            n = sum(x[g] * y[g] for g in x if y[g] and (x if len(a) <= len(b or "") else y)[g] <= 8)
+            want |= {(i, j): n} if n else {}
+    assert sum(i == 0 for i, _ in want) == 13 and (1, 12) in want and (2, 14) not in want
+    assert {(r.item_id, r.doc_id): r.n for r in QUERIES["q_kgram_anchors_whole"](spark, str(tmp_path)).collect()} == want
+    b, d = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("benchmark", "documents"))
+    beyond = S.anchors_by_text(b, d, a_key="item_id", b_key="doc_id", text="text", k=20, most=8, few=0)
+    assert {(r.item_id, r.doc_id): r.n for r in beyond.collect()} == want
+    places = {(r.item_id, r.doc_id): r.edits for r in QUERIES["q_infix_distance"](spark, str(tmp_path)).collect()}
+    assert set(places) == set(want) and all(places[0, j] == 0 for j in range(12)) and places[1, 12] == 0

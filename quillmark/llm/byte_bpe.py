@@ -47,7 +47,8 @@ class Encoder:
 
         ranks = ranks_of(path)
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
-        self._encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._encode, self._bytes = own.encode_ordinary, own.decode_single_token_bytes
         self._kept, encode, kind = words_kept, self._encode, self.kind
 
         class Words(dict):
@@ -60,6 +61,10 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self._encode(text)
 
+    def lengths(self, text: str) -> list[int]:
+        """Bytes of each token."""
+        return [len(self._bytes(i)) for i in self._encode(text)]
+
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``kind``."""
         if len(self._words) > self._kept:

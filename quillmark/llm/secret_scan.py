@@ -1,9 +1,10 @@
 """Secret scan: patterns, and strings that a tokenizer finds hard to say.
 
 Random strings cost a byte-level BPE vocabulary more tokens a character than
-prose or identifiers do. Every run of ``[A-Za-z0-9+/_=-]`` of 20 characters or more that
-no pattern has found is tokenized, and reported as ``random`` if it has fewer than
-``least_ratio`` characters a token, unless it is a known digest or identifier.
+prose or identifiers do. Of every run of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, what
+no pattern and no known digest covers is tokenized, and reported as ``random`` if it has fewer than
+``least_ratio`` characters a token, unless it is a known digest or number; words pass by their measure. Of a run with more, each stretch of
+20 characters or more with fewer is reported, so words around a random string do not hide it.
 """
 
 from __future__ import annotations
@@ -38,10 +39,56 @@ KNOWN = (
     re.compile(r"sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}"),  # digests of subresources
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"[0-9+/_=-]+"),  # numbers, dates, rules
-    re.compile(r"(?:[A-Za-z]+[/_=+-]+)*[A-Za-z]?[a-z]+(?:[/_=+-]+[A-Za-z]*)*"),  # words and identifiers of words
 )
 
 
+#: Digests among other characters of a run.
+INSIDE = re.compile("|".join(rf"(?<![A-Za-z0-9])(?:{k.pattern})(?![A-Za-z0-9])" for k in KNOWN[:3]))
+LEAST = 20
+JOINTS = "/_=+-"
+
+
+def stretches(lengths: list[int], least_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of the maximal stretches of tokens with fewer than ``least_ratio`` characters a token, by one pass (Ruzzo and Tompa)."""
+    kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
+    total, at = 0.0, 0
+    for n in lengths:
+        before, total = total, total + least_ratio - n
+        at += n
+        if n >= least_ratio:
+            continue
+        new = (before, total, at - n, at)
+        while True:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][0] >= new[0]:
+                j -= 1
+            if j < 0 or kept[j][1] >= new[1]:
+                kept.append(new)
+                break
+            new = (kept[j][0], new[1], kept[j][2], new[3])
+            del kept[j:]
+    return [k[2:] for k in kept]
+
+
+def random_parts(part: str, encoder: Encoder, least_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run or the part of one: all of it, or else stretches of it."""
+    known = lambda s: any(k.fullmatch(s) for k in KNOWN)
+    if len(part) < LEAST or known(part):
+        return []
+    lengths = encoder.lengths(part)
+    if len(part) < least_ratio * len(lengths):
+        return [(0, len(part))]
+    out = []
+    for start, end in stretches(lengths, least_ratio):
+        while start < end and part[start] in JOINTS:
+            start += 1
+        while start < end and part[end - 1] in JOINTS:
+            end -= 1
+        if end - start >= LEAST and not known(part[start:end]):
+            out.append((start, end))
+    return out
+
+
 def find(text: str | None, encoder: Encoder, least_ratio: float = LEAST_RATIO) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, string) by start, then kind; positions are code points, ends exclusive."""
     if not text:
@@ -56,11 +103,11 @@ def find(text: str | None, encoder: Encoder, least_ratio: float = LEAST_RATIO) -
         spans += [("hex", m.start(), m.end(), m[0]) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LEAST]
         base = list(spans)
         for run in runs:
-            found, start, end = run[0], run.start(), run.end()
-            if any(start < e and s < end for _, s, e, _ in base) or any(k.fullmatch(found) for k in KNOWN):
-                continue
-            if len(found) < least_ratio * len(encoder.whole(found)):
-                spans.append(("random", start, end, found))
+            start, end = run.span()
+            covered = [(max(a, start), min(b, end)) for _, a, b, _ in base if start < b and a < end] + [(start + m.start(), start + m.end()) for m in INSIDE.finditer(run[0])]
+            for a, b in [*sorted(covered), (end, end)]:
+                spans += [("random", start + x, start + y, text[start + x : start + y]) for x, y in random_parts(text[start:a], encoder, least_ratio)]
+                start = max(start, b)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -58,3 +58,33 @@ def test_operator(spark):
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind != "random"] == brute(text)
         assert all(text[s.start : s.end] == s.found for s in r.spans)
     assert len(rows) == len(TEXTS) + 1 and S.scan(docs.limit(0), path=PATH, pattern=PATTERN).count() == 0
+
+
+def test_words_around_a_random_string_do_not_hide_it(encoder):
+    key = "x8Kd93jf0sLq2mZp7TyB"
+    for text in (f"com/api/documentation/reference/{key}/settings/information", f"production_database_backup_credentials_{key}", f"D41D8CD98F00B204E9800998ECF8427E/{key}", f"see {'0123456789abcdef' * 2}/{key}"):
+        assert [s[3] for s in S.find(text, encoder) if s[0] == "random" and key in s[3]], text
+    for text in ("com/api/documentation/reference/settings/information", "production_database_backup_credentials_of_Everything", "D41D8CD98F00B204E9800998ECF8427E/documentation"):
+        assert not [s for s in S.find(text, encoder) if s[0] == "random"], text
+    import random
+
+    rng = random.Random(1)
+    found = [bool(S.find("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=32)), encoder)) for _ in range(200)]
+    assert sum(found) >= 190
+
+
+def test_stretches_are_those_of_the_definition():
+    import random
+
+    def brute(w, lo, hi):  # the greatest sum of a range (the shortest), then what is left and right of it
+        sums = [(-sum(w[i:j]), j - i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not sums or min(sums)[0] >= 0:
+            return []
+        _, _, i, j = min(sums)
+        return [*brute(w, lo, i), (i, j), *brute(w, j, hi)]
+
+    rng = random.Random(1)
+    for _ in range(200):
+        n = [rng.randint(1, 6) for _ in range(rng.randint(0, 14))]
+        at = [sum(n[:i]) for i in range(len(n) + 1)]
+        assert S.stretches(n, 2.03125) == [(at[i], at[j]) for i, j in brute([2.03125 - x for x in n], 0, len(n))]

@@ -13,9 +13,12 @@ ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents with a letter, which is when some language is told; those without text or letters go, whether or not anything was labelled."""
     names = ("_lang_pred", "_lang_score")
-    found = language_id.identify(docs, language_id.fit(docs), names=names)
+    model = language_id.fit(docs)
+    if model.families is None:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    found = language_id.identify(docs, model, names=names)
     return found.where(F.col(names[0]) != language_id.UNDETERMINED).select(*docs.columns)
 
 

@@ -11,11 +11,13 @@
    the bucket, in blocks of bounded size: pairs of different components whose sizes and
    signatures allow the similarity are confirmed on full sets right there, each in the first
    band it shares. A block gives only the links that join its components. So every
-   pair that shares a band and is not known to be in one component is confirmed; none
-   is dropped for the size of its group, and no pairs are listed.
+   pair that shares a band, whose signatures agree on the similarity less MARGIN at least, and that
+   is not known to be in one component is confirmed; none is dropped for the size of its group,
+   and no pairs are listed. Of rows with one id and different texts, one takes part in this search.
 
 Two texts at the least similarity share no band with a chance of (1 - s^ROWS)^BANDS,
-about 1e-7 at 0.8. Texts are shuffled only for classes that share a bucket with another.
+about 1e-7 at 0.8. Signatures of such texts agree less than MARGIN allows with a chance of
+about 2.2e-5 (a binomial of 200 values at 0.8, under 136), and the pair is then not confirmed. Texts are shuffled only for classes that share a bucket with another.
 """
 
 from __future__ import annotations

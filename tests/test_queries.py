@@ -2,12 +2,14 @@
 
 import oracle
 import pytest
-from conftest import SMALL
+from oracle import SMALL
 
 from quillmark.plans import QUERIES, SQL
 
 #: Where the SQL itself needs more than the small set's time; the driver runs them at its own size.
 SLOW = {"q_kgram_anchors"}
+#: No page of the small set has a table, and its hits fill no second page.
+EMPTY = {"q_html_tables", "q_search_page"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+    assert (QUERIES[name](spark, SMALL).count() > 0) == (name not in EMPTY)
 
 
 def test_contract_without_the_text_subpackage(spark):

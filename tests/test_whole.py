@@ -4,7 +4,7 @@ import itertools
 import random
 from collections import Counter
 
-from conftest import SMALL
+from oracle import SMALL
 
 from quillmark.functions.unicode import edit_distance
 from quillmark.operators import alignment as A

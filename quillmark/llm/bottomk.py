@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.shared import slices
+
 K = 128
 SHINGLE = 8  # a power of two
 BITS = 48
@@ -96,38 +98,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def bucket_of(keys: np.ndarray, hashes: np.ndarray, null: np.ndarray, cuts: np.ndarray, nulls: int) -> np.ndarray:
+    """The bucket of each row in the order of (key, hash), null keys last.
+
+    ``cuts`` are ascending keys where buckets begin. One that stands there m times has
+    so many rows that these are split into m buckets by even ranges of the hash.
+    Null keys have ``nulls`` buckets at the end.
+    """
+
+    def part(h: np.ndarray, m: int) -> np.ndarray:
+        from_zero = h.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        return (from_zero // np.uint64(-(-(1 << 64) // m))).astype(np.int64) if m > 1 else np.zeros(len(h), np.int64)
+
+    low, high = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+    found = np.where(high - low > 1, low + 1, high)
+    for i in np.unique(low[(high - low > 1) & ~null]):
+        mine = (low == i) & (high - low > 1)
+        found[mine] += part(hashes[mine], int(high[mine][0] - i))
+    found[null] = len(cuts) + 1 + part(hashes[null], nulls)
+    return found.astype(np.int32)
+
+
 def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """(key, text, bucket, copied), in partitions of whole buckets sorted by (bucket, copied, key).
+    """(key, text, bucket, copied), in partitions of whole buckets sorted by (bucket, copied, key, hash of the text), null keys last.
 
-    Buckets are key ranges with about as many rows each. After a bucket's rows
-    follows a copy of the next bucket's first row (after the last bucket the
-    first's), so the next document of each is the next row. One shuffle of
-    texts; the driver sees a key or two of each bucket.
+    Buckets are ranges of that order with about as many rows each, also where
+    many rows share a key. After a bucket's rows follows a copy of the next bucket's
+    first row (after the last bucket the first's), so the next document of each is the
+    next row. One shuffle of texts; the driver sees a key or two of each bucket.
     """
     spark = docs.sparkSession
-    keys = docs.select(F.col(key).cast("long").alias("key")).where("key is not null")
+    rows = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select(F.col(key).alias("key"), "text", F.xxhash64("text").alias("h"))
     n = buckets or 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = [i / n for i in range(1, n)] or [0.5]
-    cuts = keys.agg(F.percentile_approx("key", at, 10 * n).alias("cuts")).first()["cuts"] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    seen = rows.agg(F.percentile_approx("key", at, 10 * n).alias("cuts"), F.count_if(F.col("key").isNull()).alias("nulls"), F.count(F.lit(1)).alias("all")).first()
+    cuts = np.array(seen["cuts"] or [], np.int64)
+    nulls = max(1, -(-n * seen["nulls"] // max(1, seen["all"])))
+
+    # a null key comes as 0 with a flag, since pandas would turn the column into doubles
+    position = (F.coalesce("key", F.lit(0)), "h", F.col("key").isNull())
+
+    def place(k: pd.Series, h: pd.Series, null: pd.Series) -> np.ndarray:
+        return bucket_of(k.to_numpy(np.int64), h.to_numpy(np.int64), null.to_numpy(bool), cuts, nulls)
 
     @F.pandas_udf("int")
-    def bucket_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(np.int64), "right").astype(np.int32))
+    def own_bucket(k: pd.Series, h: pd.Series, null: pd.Series) -> pd.Series:
+        return pd.Series(place(k, h, null))
 
-    firsts = {r["b"]: r["first"] for r in keys.groupBy(bucket_of("key").alias("b")).agg(F.min("key").alias("first")).collect()}
+    least = F.min(F.struct(F.col("key").isNull().alias("null"), "key", "h"))
+    firsts = {r["b"]: (r["least"]["key"], r["least"]["h"]) for r in rows.groupBy(own_bucket(*position).alias("b")).agg(least.alias("least")).collect()}
     order = sorted(firsts)
     before = {firsts[b]: order[i - 1] for i, b in enumerate(order)}  # the bucket that needs this row's copy
 
     @F.pandas_udf("array<int>")
-    def targets(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(np.int64), "right")
-        return pd.Series([[int(b), before[x]] if x in before else [int(b)] for b, x in zip(own, k, strict=True)])
+    def targets(k: pd.Series, h: pd.Series, null: pd.Series) -> pd.Series:
+        rows = zip(k.tolist(), h.tolist(), null.tolist(), place(k, h, null).tolist(), strict=True)
+        return pd.Series([[b, before[x]] if (x := (None if z else a, y)) in before else [b] for a, y, z, b in rows])
 
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = rows.select(key, "text", F.posexplode(targets(key)).alias("copied", "bucket"))
-    parts = max(1, n // 4)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "copied", key, F.length("text"))
+    dealt = rows.select(F.col("key").alias(key), "text", "h", F.posexplode(targets(*position)).alias("copied", "bucket"))
+    return dealt.repartition(max(1, n // 4), "bucket").sortWithinPartitions("bucket", "copied", F.col(key).asc_nulls_last(), "h")
 
 
 OUT = (
@@ -140,16 +170,17 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
     """Fingerprints of every text and of its edited form (see ``edited``), and likenesses.
 
     Null texts are empty. A single document is its own next one. Rows that share
-    a key follow each other by length; null keys have no place in the order
-    and are left out. Empty tables give no rows. Other columns are ignored.
+    a key follow each other by their texts' hashes; rows with null keys come after all
+    others, in that order too. Empty tables give no rows. Other columns are ignored.
     """
     dealt = with_next(docs, key=key, text=text, buckets=buckets)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         held = None  # the last row, until the next is seen
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(pc.binary_length(whole.column(1)).to_pylist())):
             out = []
             for doc, body, copied, bucket in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if copied and held and held[3] == bucket and held[4]:

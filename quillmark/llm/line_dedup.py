@@ -5,7 +5,7 @@ site's pages (and on ``least_pages`` at least). Pages that hold a line are
 counted by (site, 128-bit hash of the line), pre-aggregated before the shuffle,
 so a site with a third of all pages is many small keys and no text is shuffled.
 A site has at most (mean lines a page) / ratio such lines; the table of them is
-broadcast if its checked size allows, else lines are joined and regrouped.
+broadcast if its checked size allows, else lines' hashes are joined.
 Only DataFrame functions are used.
 """
 
@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import stash
+from quillmark.llm.shared import stash, unused
 
 RATIO = 0.08
 LEAST_PAGES = 4
 #: Lines in the broadcast table at most; a line is two numbers.
 BROADCAST_LINES = 500_000
+#: Keys that a line is spread over where it is looked up by a join.
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -56,46 +58,44 @@ def dedup_lines(docs: DataFrame, *, site: str = "source", text: str = "text", ra
 
     The order of what stays is kept, also repeats within a page, which count
     once; blank lines stay. A null text stays null with no lines; an empty one is one
-    line. A page whose lines are all dropped keeps its row with an empty text.
+    line. A page whose lines are all dropped keeps its row with an empty text. All
+    other columns come back as they were.
     """
     found = stash(boilerplate(docs, site=site, text=text, ratio=ratio, least_pages=least_pages), "lines")
-    if found.limit(broadcast_lines + 1).count() <= broadcast_lines:
-        return _by_broadcast(docs, found, site, text, counts)
-    return _by_join(docs, found, site, text, counts)
-
-
-def _counts(lines: Column, kept: Column, names: tuple[str, str]) -> dict[str, Column]:
-    n = F.when(lines.isNull(), 0).otherwise(F.size(lines))
-    return {names[0]: n.cast("long"), names[1]: F.when(lines.isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
-
-
-def _by_broadcast(docs: DataFrame, found: DataFrame, site: str, text: str, counts: tuple[str, str]) -> DataFrame:
-    by_site = found.groupBy(F.col("site").alias("_site")).agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
-    joined = docs.join(F.broadcast(by_site), F.col(site).eqNullSafe(F.col("_site")), "left")
+    gone, left = unused("_gone", docs.columns), unused("_left", docs.columns)
     lines = _lines(F.col(text))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("_drop"), _hash(x))))
-    joined = joined.withColumn("_kept", kept).withColumns(_counts(lines, F.col("_kept"), counts))
-    joined = joined.withColumn(text, F.when(F.col(counts[1]) > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return joined.select(*docs.columns, *(c for c in counts if c not in docs.columns))
-
-
-def _by_join(docs: DataFrame, found: DataFrame, site: str, text: str, counts: tuple[str, str]) -> DataFrame:
-    """For more lines than can be broadcast: every line is looked up by its hash, pages are put together again."""
-    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "lines-rows")
-    each = rows.select("_row", F.col(site).alias("_site"), F.posexplode(_lines(F.col(text))).alias("_at", "_line"))
-    each = each.withColumn("_h", _hash(F.col("_line")))
-    drop = found.select(F.col("site").alias("_s"), "h1", "h2", F.lit(True).alias("_found"))
-    same = F.col("_site").eqNullSafe(F.col("_s")) & (F.col("_h.h1") == F.col("h1")) & (F.col("_h.h2") == F.col("h2"))
-    each = each.join(drop, same, "left").withColumn("_keep", F.col("_found").isNull() | _blank(F.col("_line")))
-    whole = each.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_keep"), F.struct("_at", "_line")))).alias("_kept"), F.count(F.lit(1)).alias("_n")
-    )
-    joined = rows.join(whole, "_row", "left")
-    joined = joined.withColumns(
-        {
-            counts[0]: F.coalesce("_n", F.lit(0)).cast("long"),
-            counts[1]: F.when(F.col("_n").isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long"),
-        }
-    )
-    joined = joined.withColumn(text, F.when(F.col(counts[1]) > 0, F.array_join(F.col("_kept._line"), "\n")).otherwise(F.col(text)))
-    return joined.select(*docs.columns, *(c for c in counts if c not in docs.columns))
+    if found.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        joined = _with_lines_of_site(docs, found, site, gone)
+        kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(gone), _hash(x)))
+    else:
+        joined = _with_places(docs, found, site, text, gone)
+        kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
+    joined = joined.withColumn(left, F.when(F.col(gone).isNull(), lines).otherwise(kept))
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    dropped = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long")
+    made = {text.lower(): F.when(dropped > 0, F.array_join(left, "\n")).otherwise(F.col(text)), counts[0].lower(): n, counts[1].lower(): dropped}
+    names = [*docs.columns, *(c for c in counts if c.lower() not in {x.lower() for x in docs.columns})]
+    return joined.select(*(made.get(c.lower(), F.col(f"`{c}`")).alias(c) for c in names))
+
+
+def _with_lines_of_site(docs: DataFrame, found: DataFrame, site: str, gone: str) -> DataFrame:
+    """``docs`` with the hashes of the lines that go from each page's site; null if none."""
+    own = unused("_site", docs.columns)
+    by_site = found.groupBy(F.col("site").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    return docs.join(F.broadcast(by_site), F.col(site).eqNullSafe(F.col(own)), "left")
+
+
+def _with_places(docs: DataFrame, found: DataFrame, site: str, text: str, gone: str) -> DataFrame:
+    """For more lines than can be broadcast: ``docs`` with the places of the lines that go from each page; null if none.
+
+    Lines are looked up by hash, without their text. A line that most pages have is
+    spread over SALTS keys.
+    """
+    row = unused("_row", docs.columns)
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "lines-rows")
+    each = rows.select(F.col(row).alias("row"), F.col(site).alias("site"), F.posexplode(_lines(F.col(text))).alias("at", "line")).where(~_blank(F.col("line")))
+    each = each.select("row", "at", "site", _hash(F.col("line")).alias("h"), F.pmod("row", F.lit(SALTS)).alias("salt"))
+    drop = found.select(F.col("site").alias("of"), "h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt2"))
+    same = F.col("site").eqNullSafe(F.col("of")) & (F.col("h.h1") == F.col("h1")) & (F.col("h.h2") == F.col("h2")) & (F.col("salt") == F.col("salt2"))
+    places = each.join(drop, same).groupBy(F.col("row").alias(unused("_of", rows.columns))).agg(F.collect_list("at").alias(gone))
+    return rows.join(places, F.col(row) == F.col(places.columns[0]), "left")

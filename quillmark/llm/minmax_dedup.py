@@ -13,11 +13,13 @@
    band it shares. A block gives only the links that join its components. So every
    pair that shares a band, whose signatures agree on the similarity less MARGIN at least, and that
    is not known to be in one component is confirmed; none is dropped for the size of its group,
-   and no pairs are listed. Of rows with one id and different texts, one takes part in this search.
+   and no pairs are listed. Classes have numbers of their own, so rows with one id and different
+   texts take part each.
 
 Two texts at the least similarity share no band with a chance of (1 - s^ROWS)^BANDS,
 about 1e-7 at 0.8. Signatures of such texts agree less than MARGIN allows with a chance of
-about 2.2e-5 (a binomial of 200 values at 0.8, under 136), and the pair is then not confirmed. Texts are shuffled only for classes that share a bucket with another.
+about 3e-8 (a binomial of 200 values at 0.8, under 128), and the pair is then not confirmed. Texts are
+shuffled only for classes that share a bucket with another.
 """
 
 from __future__ import annotations
@@ -28,22 +30,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.components import BLOCK, components
-from quillmark.llm.shared import map_texts, stash
+from quillmark.llm.shared import map_texts, slices, stash, unused
 from quillmark.llm.shingles import MinMax, Shingler
 
 WIDTH = 5  # words of a shingle
 PERCENT = 80  # least 100 * intersection / union
 ROWS, BANDS = 5, 40  # ROWS * BANDS values are the minima and maxima of half as many permutations
 #: Signatures agree in a share that scatters by 0.03 or less around the resemblance.
-MARGIN = 0.12
+MARGIN = 0.16
 RUN_ROWS = 10_000  # of a bucket chained in one task
 BLOCK_ROWS = 1024  # of a bucket compared with each other in one task
 CHAINS = 2  # rounds of chained pairs before buckets are searched exhaustively
 BROADCAST_IDS = 1_000_000
 
 
+def _bodies(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, text_hash): of one id, texts are told apart by their hash."""
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def signatures(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame:
-    """(id, n_shingles, set_hash, signature); hash and signature are null for an empty set or a null id."""
+    """(id, text_hash, n_shingles, set_hash, signature); set's hash and signature are null for an empty set or a null id."""
 
     def work():
         shingler, hashing = Shingler(width), MinMax(ROWS * BANDS // 2)
@@ -59,8 +66,7 @@ def signatures(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame
 
         return do
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = map_texts(rows, work, "n_shingles long, set_hash binary, signature binary", keep=["id"])
+    made = map_texts(_bodies(docs, key, text), work, "n_shingles long, set_hash binary, signature binary", keep=["id", "text_hash"])
     return made.withColumns({c: F.when(F.col("id").isNotNull(), F.col(c)) for c in ("set_hash", "signature")})
 
 
@@ -83,18 +89,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    first = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    second = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
     return stash(joined.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 
 def _relabel(labels: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """``labels`` (id, comp) after its components are joined by ``links`` (a, b; ids)."""
-    mapped = links.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    """``labels`` (node, comp) after its components are joined by ``links`` (a, b; nodes)."""
+    mapped = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
     merged = components(mapped.select(F.col("ca").alias("a"), F.col("cb").alias("b")), block=block)
     moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left")
-    return stash(moved.select("id", F.coalesce("_to", "comp").alias("comp")), "near-labels")
+    return stash(moved.select("node", F.coalesce("_to", "comp").alias("comp")), "near-labels")
 
 
 def _shares(pairs: DataFrame, least: float) -> DataFrame:
@@ -123,7 +129,7 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, with their comp."""
-    labelled = buckets.join(labels, "id")
+    labelled = buckets.join(labels, "node")
     mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
     return labelled.join(mixed, ["band", "bucket"])
 
@@ -140,11 +146,11 @@ def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     main = main.select("band", "bucket", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("others"), "all")
     dealt = rows.join(main, ["band", "bucket"])
     groups, parts = (F.ceil(F.col(c) / block_rows).cast("int") for c in ("others", "all"))
-    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     as_all = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.struct(i.alias("i"), part(parts).alias("j"), F.lit(False).alias("few")))
     as_few = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(part(groups).alias("i"), j.alias("j"), F.lit(True).alias("few")))
     both = F.when(F.col("comp") == F.col("main"), as_all).otherwise(F.concat(as_all, as_few))
-    return dealt.withColumn("_at", F.explode(both)).select("band", "bucket", "_at.i", "_at.j", "_at.few", "id", "comp", "main")
+    return dealt.withColumn("_at", F.explode(both)).select("band", "bucket", "_at.i", "_at.j", "_at.few", "node", "comp", "main")
 
 
 def _links(width: int, percent: int, least: float):
@@ -156,6 +162,7 @@ def _links(width: int, percent: int, least: float):
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         shingler = Shingler(width)
         held: list[dict] = []
@@ -166,7 +173,7 @@ def _links(width: int, percent: int, least: float):
                 return
             few, all_ = sides
             sig = np.stack([np.frombuffer(r["sig"], "<u2") for r in all_])
-            n, comp, ids = (np.array([r[k] for r in all_]) for k in ("n", "comp", "id"))
+            n, comp, nodes = (np.array([r[k] for r in all_]) for k in ("n", "comp", "node"))
             band, main, sets, parent = held[0]["band"], held[0]["main"], {}, {}
 
             def root(c):
@@ -175,14 +182,14 @@ def _links(width: int, percent: int, least: float):
                 return c
 
             def set_of(row):
-                if row["id"] not in sets:
-                    sets[row["id"]] = shingler.set_of(row["text"])
-                return sets[row["id"]]
+                if row["node"] not in sets:
+                    sets[row["node"]] = shingler.set_of(row["text"])
+                return sets[row["node"]]
 
             for r in few:
-                # two rows outside the main component meet twice; the lesser id asks
+                # two rows outside the main component meet twice; the lesser number asks
                 size = r["n"]
-                at = np.flatnonzero((comp != r["comp"]) & ((comp == main) | (ids > r["id"])) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+                at = np.flatnonzero((comp != r["comp"]) & ((comp == main) | (nodes > r["node"])) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
                 if not len(at):
                     continue
                 same = sig[at] == np.frombuffer(r["sig"], "<u2")
@@ -198,13 +205,14 @@ def _links(width: int, percent: int, least: float):
                     both = len(np.intersect1d(mine, its, assume_unique=True))
                     if both and 100 * both >= percent * (len(mine) + len(its) - both):
                         parent[ca] = cb
-                        yield r["id"], other["id"]
+                        yield r["node"], other["node"]
 
         def batch_of(pairs):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for row in (r for lo, hi in slices(pc.binary_length(texts).to_pylist()) for r in batch.slice(lo, hi - lo).to_pylist()):
                 if held and any(row[k] != held[0][k] for k in ("bucket", "band", "i", "j")):
                     if pairs := list(links()):
                         yield batch_of(pairs)
@@ -216,73 +224,92 @@ def _links(width: int, percent: int, least: float):
     return run
 
 
-def near_groups(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, run_rows: int = RUN_ROWS, edge_block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS
-) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``docs``.
-
-    Rows are linked whose shingle sets have 100 * intersection >= percent * union;
-    component_id is the least key that links reach, kept marks the row that has it.
-    A text without words (or null) has an empty set and is linked with nothing;
-    one with fewer words than ``width`` is one shingle. Repeated rows are kept or not
-    alike; rows with one key and different texts are judged by their own. A row with a
-    null key is linked with nothing and kept, with a null component_id. An empty
-    table gives no rows.
-    """
+def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, block_rows: int, run_rows: int, edge_block: int, broadcast_ids: int) -> DataFrame:
+    """(id, text_hash, n_shingles, component_id, kept) for each row of ``docs``; see ``near_groups``."""
     rows = stash(signatures(docs, key=key, text=text, width=width), "near-rows")
-    classes = rows.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("rep"))
-    classes = stash(classes, "near-classes")
-    reps = rows.join(classes, (rows["set_hash"] == classes["set_hash"]) & (F.col("id") == F.col("rep"))).select("id", "signature")
+    # equal sets have equal signatures, so any row's stands for the class
+    classes = rows.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("sig"))
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep.id", "rep.text_hash", "n", "sig"), "near-classes")
 
     width_bytes = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("signature", j * width_bytes + 1, F.lit(width_bytes))))
-    banded = reps.select("id", F.posexplode(bands).alias("band", "bucket"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * width_bytes + 1, F.lit(width_bytes))))
+    banded = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
     banded = stash(banded, "near-bands")
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stash(banded.join(shared, ["band", "bucket"]), "near-buckets")
 
-    ids = buckets.select("id").distinct()
-    bodies = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
-    texts = stash(bodies.join(F.broadcast(ids) if small else ids, "id", "left_semi"), "near-texts")
-
-    sized = rows.select("id", F.col("n_shingles").alias("n"), F.col("signature").alias("sig"))
-    sigs = stash(sized.join(F.broadcast(ids) if small else ids, "id", "left_semi").dropDuplicates(["id"]), "near-sigs")
+    nodes = buckets.select("node").distinct()
+    small = nodes.limit(broadcast_ids + 1).count() <= broadcast_ids
+    bounded = lambda df: F.broadcast(df) if small else df
+    meeting = stash(classes.drop("set_hash").join(bounded(nodes), "node", "left_semi"), "near-sigs")
+    sigs = meeting.select("node", "n", "sig")
+    texts = stash(_bodies(docs, key, text).join(bounded(meeting.select("node", "id", "text_hash")), ["id", "text_hash"]).select("node", "text"), "near-texts")
 
     least = percent / 100 - MARGIN
-    labels = stash(ids.select("id", F.col("id").alias("comp")), "near-labels")
+    labels = stash(nodes.select("node", F.col("node").alias("comp")), "near-labels")
     for n in range(CHAINS):
-        open_rows = (_mixed(buckets, labels) if n else buckets.withColumn("comp", F.col("id"))).join(sigs.select("id", "sig"), "id")
-        salt = F.pmod(F.xxhash64(F.lit(n), "bucket", "id"), F.ceil(F.col("members") / run_rows))
-        before = Window.partitionBy("band", "bucket", salt).orderBy(F.xxhash64(F.lit(n), "band", "id"), "id")
-        chained = open_rows.select(F.lag(F.struct("id", "comp", "sig")).over(before).alias("p"), "id", "comp", "sig").where("p.comp <> comp")
-        pairs = chained.select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.comp").alias("ca"), F.col("comp").alias("cb"), F.col("p.sig").alias("sa"), F.col("sig").alias("sb"))
+        open_rows = (_mixed(buckets, labels) if n else buckets.withColumn("comp", F.col("node"))).join(sigs.select("node", "sig"), "node")
+        salt = F.pmod(F.xxhash64(F.lit(n), "bucket", "node"), F.ceil(F.col("members") / run_rows))
+        before = Window.partitionBy("band", "bucket", salt).orderBy(F.xxhash64(F.lit(n), "band", "node"), "node")
+        chained = open_rows.select(F.lag(F.struct("node", "comp", "sig")).over(before).alias("p"), "node", "comp", "sig").where("p.comp <> comp")
+        pairs = chained.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.comp").alias("ca"), F.col("comp").alias("cb"), F.col("p.sig").alias("sa"), F.col("sig").alias("sb"))
         links = confirmed(stash(_best(_shares(pairs, least)), "near-chosen"), texts, width=width, percent=percent)
         if links.isEmpty():
             break
         labels = _relabel(labels, links, edge_block)
 
     block = ("band", "bucket", "i", "j")
-    dealt = _blocks(_mixed(buckets, labels), block_rows).join(sigs, "id").join(texts.dropDuplicates(["id"]), "id")
-    sorted_rows = dealt.select(*block, "few", "id", "comp", "main", "n", "sig", "text").repartition(*block).sortWithinPartitions(*block)
+    # an id may stand on several equal rows
+    dealt = _blocks(_mixed(buckets, labels), block_rows).join(sigs, "node").join(texts.dropDuplicates(["node"]), "node")
+    sorted_rows = dealt.select(*block, "few", "node", "comp", "main", "n", "sig", "text").repartition(*block).sortWithinPartitions(*block)
     links = stash(sorted_rows.mapInArrow(_links(width, percent, least), "a long, b long"), "near-links")
     if not links.isEmpty():
         labels = _relabel(labels, links, edge_block)
 
-    least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
-    placed = labels.join(least, "comp").select(F.col("id").alias("rep"), "component_id")
-    known = stash(classes.join(placed, "rep", "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id")), "near-known")
-    found = rows.drop("signature").join(known, "set_hash", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", **parameters) -> DataFrame:
-    """``docs`` with one row for each group: the one with the least key; of rows with one key, one. Rows with a null key stay."""
-    kept = near_groups(docs, key=key, **parameters).where(F.col("kept") & F.col(key).isNotNull()).groupBy(F.col(key).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stash(kept, "near-kept")
-    joined = docs.join(kept, docs[key].cast("long") == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(key).isNull())
-    # only rows of repeated keys are told apart; the window is dealt as the join is
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))
-    if not kept.where("_rows > 1").isEmpty():
-        joined = joined.withColumn("_row", first).where((F.col("_row") == 1) | F.col(key).isNull()).drop("_row")
-    return joined.drop("_kept", "_rows")
+    named = labels.join(meeting.select("node", "id"), "node")
+    least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    placed = named.join(least_id, "comp").select("node", "component_id")
+    known = stash(classes.select("node", "set_hash", "id").join(placed, "node", "left").select("set_hash", F.coalesce("component_id", "id").alias("component_id")), "near-known")
+    found = rows.drop("signature").join(known, "set_hash", "left")
+    found = found.select("id", "text_hash", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
+
+
+def near_groups(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, run_rows: int = RUN_ROWS, edge_block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS
+) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of ``docs``.
+
+    Rows are linked whose shingle sets have 100 * intersection >= percent * union;
+    component_id is the least key that links reach, kept marks the row that has it.
+    A text without words (or null) has an empty set and is linked with nothing;
+    one with fewer words than ``width`` is one shingle. Repeated rows are kept or not
+    alike; rows with one key and different texts are judged by their own. A row with a
+    null key is linked with nothing and kept, with a null component_id. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    found = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
+    return found.select(F.col("id").alias(key), "n_shingles", "component_id", "kept")
+
+
+def deduplicated(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, block_rows: int = BLOCK_ROWS, run_rows: int = RUN_ROWS, edge_block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS
+) -> DataFrame:
+    """``docs`` with one row for each group: the one with the least key.
+
+    Of rows that share that key, one text stays, once, the one of the least hash; a text without
+    words is a group of its own. Rows with a null key stay. All columns come back as they were.
+    """
+    found = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
+    stays, times, body, nth = (unused(c, docs.columns) for c in ("_stays", "_times", "_body", "_nth"))
+    # texts without words are groups of their own
+    alone = F.when(F.col("n_shingles") == 0, F.col("text_hash"))
+    kept = found.where(F.col("kept") & F.col("id").isNotNull()).groupBy(F.col("id").alias(stays), alone.alias("alone")).agg(F.min("text_hash").alias(body), F.count(F.lit(1)).alias(times))
+    kept = stash(kept.drop("alone"), "near-kept")
+    same = (docs[key].cast("long") == F.col(stays)) & (F.xxhash64(docs[text]) == F.col(body))
+    joined = docs.join(kept, same, "left").where(F.col(stays).isNotNull() | docs[key].isNull())
+    # rows are told apart only where some repeat; they have one key, so a key's rows are those of one text
+    if not kept.where(F.col(times) > 1).isEmpty():
+        first = F.row_number().over(Window.partitionBy(key, body).orderBy(F.lit(1)))
+        joined = joined.withColumn(nth, first).where((F.col(nth) == 1) | F.col(key).isNull())
+    return joined.select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import stash
+from quillmark.llm.shared import stash, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
@@ -108,7 +108,7 @@ def draw(*parts: Column) -> Column:
 def mix_sizes(
     sizes: DataFrame, *, seed: str = SEED, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST
 ) -> DataFrame:
-    """The mix for ``sizes`` (doc_id, source, size): per row target, taken and the span taken once more.
+    """The mix for ``sizes`` (doc_id, source, size, and tie to order rows of one id): per row target, taken and the span taken once more.
 
     Adds source_size, target, taken, ``full`` (times all of it is taken) and up to
     two extra spans of its words: [a1, e1) and [a2, e2).
@@ -149,7 +149,7 @@ def mix_sizes(
         .select("place", "shard", "full", "b1", "b2", "b3")
     )
     shards = stash(shards, "mix-shards")
-    within = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size")
+    within = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", *(c for c in ("tie",) if c in sizes.columns))
     end = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     span = lambda lo, hi: (F.greatest(lo, F.col("start")) - F.col("start"), F.greatest(F.least(hi, F.col("end")), F.greatest(lo, F.col("start"))) - F.col("start"))
@@ -182,29 +182,24 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Whole copies are unchanged. A part is the words taken, joined by spaces, with
     n_chars (where there is such a column) of its own. Documents without words
-    are not taken. Repeated rows of one doc_id and size share their fate in
-    any order.
+    are not taken. Rows of one doc_id, source and size are taken in the order of their
+    texts' hashes; equal rows share their fate in any order. All other columns come back as they were.
     """
-    columns = docs.columns
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    sizes = stash(sized.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
-    # rows of one key are numbered alike on both sides, so rows and plans are joined in one exchange by the key
-    plan = mix_sizes(sizes, **parameters).withColumn("_key", F.xxhash64("doc_id", "source", "size"))
-    entry = F.struct("doc_id", "source", "size", "order", "start", "full", "a1", "e1", "a2", "e2")
-    plans = stash(plan.groupBy("_key").agg(F.sort_array(F.collect_list(entry)).alias("_plans")), "mix-plan")
-    nth = Window.partitionBy("_key").orderBy("doc_id", "source", "_size")
-    rows = sized.withColumn("_key", F.xxhash64("doc_id", "source", "_size")).withColumn("_nth", F.row_number().over(nth))
-    joined = rows.join(plans, "_key").withColumn("_plan", F.element_at("_plans", F.col("_nth")))
-    full, a1, e1, a2, e2 = (F.col(f"_plan.{k}") for k in ("full", "a1", "e1", "a2", "e2"))
+    size, row, word, place = (unused(c, docs.columns) for c in ("_size", "_row", "_word", "_place"))
+    # rows are numbered once, in a written table, so each meets its own plan, however many share an id
+    rows = stash(docs.withColumn(size, word_count(F.col("text"))).withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix_sizes(rows.select("doc_id", "source", F.col(size).alias("size"), F.col(row).alias("row"), F.xxhash64("text").alias("tie")), **parameters)
+    plan = plan.where("taken > 0").select(F.col("row").alias(word), F.struct("full", "a1", "e1", "a2", "e2").alias(place))
+    joined = rows.join(plan, F.col(row) == F.col(word))
+    full, a1, e1, a2, e2 = (F.col(place)[k] for k in ("full", "a1", "e1", "a2", "e2"))
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
 
     def part(a: Column, e: Column) -> Column:
         cut = F.array_join(F.slice(words, (a + 1).cast("int"), (e - a).cast("int")), " ")
         nothing = F.array().cast("array<string>")
-        return F.when(e - a >= F.col("_size"), F.array("text")).when(e > a, F.array(cut)).otherwise(nothing)
+        return F.when(e - a >= F.col(size), F.array("text")).when(e > a, F.array(cut)).otherwise(nothing)
 
     texts = F.concat(F.array_repeat("text", full.cast("int")), part(a1, e1), part(a2, e2))
-    out = joined.where((F.col("_size") > 0) & (F.col("_plan.size") > 0)).withColumn("_text", F.explode(texts)).withColumn("text", F.col("_text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    out = joined.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"), F.explode(texts).alias("text"))
+    lengths = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.select(*(lengths.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

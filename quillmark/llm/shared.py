@@ -64,6 +64,30 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: Bytes of text, and rows, that Arrow functions turn into Python values at once.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 2048
+
+
+def slices(sizes, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS):
+    """(start, end) of stretches of rows whose ``sizes`` add up to ``most_bytes`` at most, or of one row."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > most_bytes or i - start >= most_rows):
+            yield start, i
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def unused(name: str, *taken: list[str]) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it; names match as Spark's do."""
+    known = {c.lower() for columns in taken for c in columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
 def map_texts(docs: DataFrame, work, added: str, *, text: str = "text", keep: list[str] | None = None, kind: str = "string") -> DataFrame:
     """Runs ``work`` over Arrow batches of texts.
 

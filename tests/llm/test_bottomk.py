@@ -1,7 +1,9 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark.llm import bottomk as B
 
@@ -46,10 +48,27 @@ def test_edited_texts_against_brute_force(spark, prose, buckets):
         assert r.fingerprint == B.to_text(B.sketch(t)) and 0 <= r.near_edited <= 1
 
 
+def in_order(docs):
+    """Keys and texts by key, then hash of the text, null keys last."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    return [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 50])
+def test_hot_and_null_keys_keep_their_rows_and_order(spark, prose, buckets):
+    rows = [(7 if i % 3 else i, prose(i, i % 11)) for i in range(90)] + [(None, prose(i, 5)) for i in range(40)] + [(2**62 + 1, "x"), (2**62, "y"), (-5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = in_order(docs)
+    want = Counter((d, B.edited(t, order[(i + 1) % len(order)][1])) for i, (d, t) in enumerate(order))
+    assert Counter((r.doc_id, r.edited_text) for r in B.fingerprint_with_edits(docs, buckets=buckets).collect()) == want
+    dealt = Counter(r.bucket for r in B.with_next(docs, buckets=50).where("copied = 0 and doc_id = 7").collect())
+    assert len(dealt) > 10 and len({r.bucket for r in B.with_next(docs, buckets=50).where("doc_id is null").collect()}) > 5
+
+
 def test_repeats_null_keys_one_row_and_none(spark):
-    docs = spark.createDataFrame([(1, "aaa"), (1, "aaa"), (2, "bb"), (None, "c")], "doc_id long, text string")
-    found = sorted((r.doc_id, r.edited_text) for r in B.fingerprint_with_edits(docs).collect())
-    assert found == [(1, "aaa"), (1, "aab"), (2, "ba")]
+    docs = spark.createDataFrame([(1, "aaa"), (1, "aaa"), (2, "bb"), (None, "cccc")], "doc_id long, text string")
+    found = sorted(((r.doc_id, r.edited_text) for r in B.fingerprint_with_edits(docs).collect()), key=str)
+    assert found == [(1, "aaa"), (1, "aab"), (2, "bc"), (None, "ccaa")]
     assert B.fingerprint_with_edits(docs.where("doc_id = 2")).first().edited_text == "bb"
     assert B.fingerprint_with_edits(docs.limit(0)).count() == 0
     assert isinstance(B.sketch("x"), np.ndarray)

@@ -34,3 +34,14 @@ def test_extra_columns_and_empty_table(spark):
     assert found.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"] and found.first().n_lines == 1
     for most in (10, 0):
         assert L.dedup_lines(docs.limit(0), broadcast_lines=most).count() == 0
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["_gone", "_left", "_site", "_row", "_kept", "_drop", "row", "at", "line", "h1", "salt"]
+    docs = spark.createDataFrame([(*r, *names, 7) for r in ROWS], f"doc_id long, source string, text string, {', '.join(f'{n} string' for n in names)}, N_LINES int")
+    for most in (1000, 0):
+        found = L.dedup_lines(docs, ratio=0.5, least_pages=4, broadcast_lines=most)
+        assert found.columns == [*docs.columns, "n_dropped"]
+        rows = found.collect()
+        assert sorted(((r.doc_id, r.N_LINES, r.n_dropped, r.text) for r in rows), key=str) == brute(ROWS, 0.5, 4)
+        assert all(r[n] == n for r in rows for n in names)

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,24 @@ def test_repeats_nulls_clashing_columns_and_empty_tables(spark, prose):
     assert M.near_groups(docs.limit(0)).count() == 0 and M.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_key_and_different_texts_take_part_each(spark, prose):
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, c), (4, c + " more"), (5, None), (5, ""), (6, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in M.near_groups(docs).collect())
+    assert found == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True), (6, 4, False)])
+    assert sorted(r.doc_id for r in M.deduplicated(docs).collect()) == [1, 4, 5, 5]
+
+
+def test_clashing_columns_come_back(spark, prose):
+    names = ["_stays", "_times", "_body", "_nth", "_kept", "_rows", "kept", "id", "text_hash", "component_id"]
+    rows = [(i, prose(i // 2, 20), *names) for i in range(8)] + [(0, prose(0, 20), *names)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    out = M.deduplicated(docs)
+    kept = out.collect()
+    assert out.columns == docs.columns and sorted(r.doc_id for r in kept) == [0, 2, 4, 6] and all(r[n] == n for r in kept for n in names)
+
+
 def test_components_of_a_long_path_a_star_and_rings(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000 + i, 5000 + (i + 1) % 9) for i in range(9)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")

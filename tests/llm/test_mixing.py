@@ -84,3 +84,20 @@ def test_repeats_empty_tables_and_no_words(spark):
     assert sorted(r.taken for r in M.mix(docs).collect()) in ([0, 3, 3], [0, 2, 4])
     assert M.mix(docs.limit(0)).count() == 0 and M.mixed_documents(docs.limit(0)).count() == 0
     assert [tuple(r) for r in M.mix(docs.where("doc_id is null")).collect()] == [(None, None, 0, 0, 0.0, 0)]
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["_plans", "_key", "_size", "_nth", "_text", "_row", "_word", "_place", "row", "taken", "order", "tie", "full"]
+    docs = spark.createDataFrame([(*r, *names) for r in make(60, 3)], f"doc_id long, source string, text string, {', '.join(f'{n} string' for n in names)}")
+    out = M.mixed_documents(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and rows and all(r[n] == n for r in rows for n in names)
+    plain = M.mixed_documents(docs.select("doc_id", "source", "text")).collect()
+    assert sorted(map(tuple, plain)) == sorted((r.doc_id, r.source, r.text) for r in rows)
+
+
+def test_reruns_agree_where_ids_repeat(spark):
+    rows = [(i % 7, "a", f"w{i} " * (20 + i % 3)) for i in range(200)] + [(None, "b", f"n{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    one, two = (sorted(map(str, M.mixed_documents(docs.repartition(n)).collect())) for n in (2, 5))
+    assert one == two

@@ -8,12 +8,13 @@ worked out once and kept, so the cost a word is a look-up.
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
 
 #: Words kept by a worker at most; then it begins anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 #: White space before a space that nothing but white space follows: only there may a piece span a cut.
 _SPANS = re.compile(r"\s (?!\S)")
@@ -31,12 +32,11 @@ def ranks_of(path: str) -> dict[bytes, int]:
     if path.endswith(".tiktoken"):
         with open(path, "rb") as f:
             return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    special = {t["content"] for t in file["added_tokens"]}
     own = byte_of_char()
-    return {bytes(own[c] for c in piece): i for piece, i in tokenizer.get_vocab(with_added_tokens=False).items() if piece not in special}
+    return {bytes(own[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
 
 
 class Encoder:

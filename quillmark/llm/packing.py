@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.byte_bpe import Encoder
-from quillmark.llm.shared import map_texts, stash
+from quillmark.llm.shared import map_texts, slices, stash
 
 WINDOW = 2048
 END_ID = 1
@@ -58,8 +58,9 @@ def cut(tokens: DataFrame, *, window: int = WINDOW, key: str = "doc_id") -> Data
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in slices(pc.binary_length(whole.column(4)).to_pylist())):
             rows = {k: [] for k in ("take", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "all")}
             for i, (g, n, width, ids, everything) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 6)), strict=True)):
                 values = np.frombuffer(ids, f"<u{width}").astype("<u4")

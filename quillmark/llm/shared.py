@@ -94,26 +94,33 @@ def map_texts(docs: DataFrame, work, added: str, *, text: str = "text", keep: li
     ``work()`` is called once a partition and returns a function from a list of
     texts (None for null) to a list of Python lists or Arrow arrays, one for each
     field of the DDL schema ``added``. The columns ``keep`` (all by default) come
-    first, without those that ``added`` replaces; names match as Spark's do.
+    first, without those that ``added`` replaces; names match as Spark's do. A batch is
+    worked on in stretches of SLICE_BYTES, so what Python holds of it is bounded
+    by that or by one row.
     """
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(added)
     taken = {f.name.lower() for f in new}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    at_end = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast(kind).alias("__text"))
+    at_end = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast(kind).alias(unused("__text", kept)))
     out = StructType([*(at_end.schema[c] for c in kept), *new.fields])
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(out)
         do, n = work(), len(kept)
-        for batch in batches:
-            found = do(batch.column(n).to_pylist())
-            arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(batch.columns[:n], schema, strict=False)]
-            arrays += [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(found, list(schema)[n:], strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(n)), 0).to_pylist()
+            for start, end in slices(sizes):
+                batch = whole.slice(start, end - start)
+                found = do(batch.column(n).to_pylist())
+                arrays = [a.cast(f.type) if a.type != f.type else a for a, f in zip(batch.columns[:n], schema, strict=False)]
+                arrays += [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(found, list(schema)[n:], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            pa.default_memory_pool().release_unused()
 
     return at_end.mapInArrow(run, out)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a worker keeps at most.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 

@@ -20,7 +20,7 @@ from quillmark.llm.shared import WORD, map_texts
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _WORD = re.compile(WORD)
 
 

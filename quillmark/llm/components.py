@@ -54,4 +54,4 @@ def components(edges: DataFrame, *, block: int = BLOCK) -> DataFrame:
     for joins in reversed(rounds):
         known = stash(found, "cc-found").select(F.col("node").alias("to"), "comp")
         found = joins.join(known, "to", "left").select("node", F.coalesce("comp", "to").alias("comp"))
-    return stash(found, "cc")
+    return found

@@ -234,7 +234,6 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, bloc
     width_bytes = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * width_bytes + 1, F.lit(width_bytes))))
     banded = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
-    banded = stash(banded, "near-bands")
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stash(banded.join(shared, ["band", "bucket"]), "near-buckets")
 
@@ -246,14 +245,14 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, bloc
     texts = stash(_bodies(docs, key, text).join(bounded(meeting.select("node", "id", "text_hash")), ["id", "text_hash"]).select("node", "text"), "near-texts")
 
     least = percent / 100 - MARGIN
-    labels = stash(nodes.select("node", F.col("node").alias("comp")), "near-labels")
+    labels = meeting.select("node", F.col("node").alias("comp"))
     for n in range(CHAINS):
         open_rows = (_mixed(buckets, labels) if n else buckets.withColumn("comp", F.col("node"))).join(sigs.select("node", "sig"), "node")
         salt = F.pmod(F.xxhash64(F.lit(n), "bucket", "node"), F.ceil(F.col("members") / run_rows))
         before = Window.partitionBy("band", "bucket", salt).orderBy(F.xxhash64(F.lit(n), "band", "node"), "node")
         chained = open_rows.select(F.lag(F.struct("node", "comp", "sig")).over(before).alias("p"), "node", "comp", "sig").where("p.comp <> comp")
         pairs = chained.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.comp").alias("ca"), F.col("comp").alias("cb"), F.col("p.sig").alias("sa"), F.col("sig").alias("sb"))
-        links = confirmed(stash(_best(_shares(pairs, least)), "near-chosen"), texts, width=width, percent=percent)
+        links = confirmed(_best(_shares(pairs, least)), texts, width=width, percent=percent)
         if links.isEmpty():
             break
         labels = _relabel(labels, links, edge_block)
@@ -269,7 +268,7 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, bloc
     named = labels.join(meeting.select("node", "id"), "node")
     least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     placed = named.join(least_id, "comp").select("node", "component_id")
-    known = stash(classes.select("node", "set_hash", "id").join(placed, "node", "left").select("set_hash", F.coalesce("component_id", "id").alias("component_id")), "near-known")
+    known = classes.select("node", "set_hash", "id").join(placed, "node", "left").select("set_hash", F.coalesce("component_id", "id").alias("component_id"))
     found = rows.drop("signature").join(known, "set_hash", "left")
     found = found.select("id", "text_hash", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))

@@ -1,6 +1,7 @@
 """Media columns: audio as WAV bytes, and features as fixed-shape tensors with time spans.
 
-Samples are 8-bit PCM. Features: polyphase resampling by UP / DOWN, log energies
+Samples are 8-bit PCM. Tensors are stored as Arrow's fixed-shape tensors with their time spans, an
+IPC stream a document. Features: polyphase resampling by UP / DOWN, log energies
 of a mel filterbank over overlapping Hann windows, in tensors of
 (FRAMES, BANDS), and segments of energy by hysteresis. Every step is a
 function of one document's samples alone, in a fixed order, so equal media have equal values.
@@ -8,6 +9,7 @@ function of one document's samples alone, in a fixed order, so equal media have
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import wave
@@ -26,10 +28,7 @@ BLOCK = 64  # a payload's length is a multiple of this
 #: A segment begins over mean + HIGH deviations of the log energy and lasts until under mean + LOW.
 HIGH, LOW = 1.0, 0.25
 
-FIELDS = (
-    "payload binary, tensors array<array<float>>, tensor_spans array<struct<start: double, end: double>>, "
-    "segments array<struct<start: double, end: double>>, pooled array<float>"
-)
+FIELDS = "payload binary, tensors binary, n_tensors int, tensors_sha256 string, segments array<struct<start: double, end: double>>, pooled array<float>"
 
 
 def payload_of(text: str | None) -> bytes:
@@ -116,8 +115,32 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b, r in zip(starts, ends, reach, strict=True) if r > mean + HIGH * deviation]
 
 
-def features(media: bytes) -> tuple[bytes, list, list, list, np.ndarray]:
-    """(payload, tensors, tensor spans, segments, pooled) of the stored bytes; times in seconds."""
+def store_tensors(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow IPC stream of one batch: ``tensor`` (fixed-shape, (FRAMES, BANDS) of float32), ``start`` and ``end`` in seconds."""
+    import pyarrow as pa
+
+    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel(), pa.float32()), FRAMES * BANDS)
+    starts, ends = (pa.array([s[k] for s in spans], pa.float64()) for k in (0, 1))
+    batch = pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(kind, flat), starts, ends], names=["tensor", "start", "end"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The (n, FRAMES, BANDS) values and the spans of ``store_tensors``."""
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(stored) as reader:
+        batch = reader.read_next_batch()
+    spans = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    return batch.column(0).to_numpy_ndarray(), spans
+
+
+def features(media: bytes) -> tuple[bytes, bytes, int, str, list, np.ndarray]:
+    """(payload, stored tensors, their number, sha-256 of values and spans read back, segments, pooled) of the stored bytes; times in seconds."""
     payload, rate = from_wav(media)
     mel = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
     step, width, end = HOP * DOWN / UP / rate, FRAME * DOWN / UP / rate, len(payload) / rate
@@ -126,8 +149,11 @@ def features(media: bytes) -> tuple[bytes, list, list, list, np.ndarray]:
     tensors = np.zeros((count * FRAMES, BANDS), np.float32)
     tensors[: len(mel)] = mel
     spans = [(i * FRAMES * step, until(min(len(mel), (i + 1) * FRAMES))) for i in range(count)]
+    stored = store_tensors(tensors, spans)
+    values, times = read_tensors(stored)
+    digest = hashlib.sha256(np.ascontiguousarray(values, "<f4").tobytes() + np.array(times, "<f8").tobytes()).hexdigest()
     found = [(a * step, until(b)) for a, b in segments(mel.mean(axis=1))]
-    return payload, list(tensors.reshape(count, FRAMES * BANDS)), spans, found, np.concatenate([mel.mean(axis=0), mel.std(axis=0)])
+    return payload, stored, len(values), digest, found, np.concatenate([mel.mean(axis=0), mel.std(axis=0)])
 
 
 def encode_media(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -141,29 +167,18 @@ def encode_media(docs: DataFrame, *, text: str = "text", keep: list[str] | None
 def audio_features(docs: DataFrame, *, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the payload read back and its features (see FIELDS), from a column of WAV bytes.
 
-    ``tensors`` holds flat (FRAMES, BANDS) tensors, the last padded with zeros;
-    ``as_tensors`` makes Arrow's fixed-shape tensors of them without a copy.
+    ``tensors`` holds what ``store_tensors`` makes, the last tensor padded with zeros;
+    ``read_tensors`` gives them back, and tensors_sha256 is of what was read back.
     Null media give nulls. Columns named like the results are replaced.
     """
 
     def work():
         def do(values):
-            rows = [features(v) if v is not None else (None,) * 5 for v in values]
-            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(5)]
-            for k in (2, 3):
-                columns[k] = [None if c is None else [{"start": a, "end": b} for a, b in c] for c in columns[k]]
+            rows = [features(v) if v is not None else (None,) * 6 for v in values]
+            columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(6)]
+            columns[4] = [None if c is None else [{"start": a, "end": b} for a, b in c] for c in columns[4]]
             return columns
 
         return do
 
     return map_texts(docs, work, FIELDS, text=media, keep=keep, kind="binary")
-
-
-def as_tensors(lists):
-    """An Arrow array of fixed-shape tensors from the flattened ``tensors`` of a batch."""
-    import pyarrow as pa
-
-    flat = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    values = flat.flatten().flatten()
-    storage = pa.FixedSizeListArray.from_arrays(values, FRAMES * BANDS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS)), storage)

@@ -34,9 +34,11 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 
 UNDETERMINED = "und"
 BINS = 1 << 12
-#: Documents of a language in the training sample at most (drawn by a hash of the id), and languages.
+#: Documents of a language in the training sample at most (drawn by a hash of id and text), and of all languages.
 SAMPLE_PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
+SAMPLE = 12_000
+#: Labels that are learned: the commonest, first ones on ties. It bounds the pairs of one family.
+MOST_LANGUAGES = 100
 EPOCHS = 12
 PENALTY = 10.0
 #: Steepness of the logistic that turns a margin into a score.
@@ -162,22 +164,25 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, bins: int = BINS) -> Model:
-    """Learns from at most about ``per_language`` documents of each language among those that are not held out.
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, bins: int = BINS, most_languages: int = MOST_LANGUAGES, sample_rows: int = SAMPLE) -> Model:
+    """Learns from at most ``per_language`` documents of each language among those that are not held out.
 
-    Features are made on the executors; the driver gets ``bins`` numbers a
-    document of the sample. Raises where there are over MOST_LANGUAGES labels.
+    Of more labels than ``most_languages`` the commonest are learned; where they would have more
+    than ``sample_rows`` documents together, each has fewer. Rows are drawn by a hash of id and
+    text, and equal rows count once, so the sample is bounded however many rows share an
+    id. Features are made on the executors; the driver gets ``bins`` numbers a
+    document of the sample.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    commonest = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in commonest.collect()}
     if not counts:
         return Model(None, {}, bins)
+    per_language = max(1, min(per_language, sample_rows // len(counts)))
     scale = 1 << 30
     chance = F.create_map(*(F.lit(v) for c, n in counts.items() for v in (c, min(scale, round(scale * 1.2 * per_language / n)))))
-    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("key")), F.lit(scale))
-    sample = labelled.where(drawn < chance[F.col("lang")]).withColumn("drawn", drawn)
+    drawn = F.pmod(F.xxhash64(F.lit(7), "key", "text"), F.lit(scale))
+    sample = labelled.withColumn("drawn", drawn).where(F.col("drawn") < chance[F.col("lang")]).dropDuplicates(["lang", "drawn"])
 
     def work():
         def do(texts):
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
         return do
 
     got = map_texts(sample, work, "at array<int>, values array<float>", keep=["key", "lang", "drawn"]).where("at is not null")
-    rows = sorted(got.toArrow().to_pylist(), key=lambda r: (r["lang"], r["drawn"], r["key"]))
+    rows = sorted(got.toArrow().to_pylist(), key=lambda r: (r["lang"], r["drawn"]))
     kept = [r for i, r in enumerate(rows) if i < per_language or rows[i - per_language]["lang"] != r["lang"]]
     x = np.zeros((len(kept), bins), np.float32)
     for i, r in enumerate(kept):

@@ -53,7 +53,8 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audio.audio_features(media)
     feature = F.concat_ws(
         ";",
-        F.size("tensors"),
+        F.col("n_tensors"),
+        F.col("tensors_sha256"),
         F.size("segments"),
         F.round(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end"] - x["start"]), 6),
         F.array_join(F.transform("pooled", lambda x: F.round(x.cast("double"), 4).cast("string")), ","),

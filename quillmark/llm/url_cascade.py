@@ -6,8 +6,10 @@ and so on until a filter errs on no key. Over the corpus's whole key universe
 the answer is therefore exact, and asking it needs no join: the filters are
 words of 64 bits in literals, tested by expressions inside code generation.
 
-Only DataFrame functions are used. Building collects the filters (bounded by
-``max_filter_bytes``, checked before) and never the keys.
+Only DataFrame functions are used. Building collects the filters (each bounded by
+``max_filter_bytes``, checked before) and never the keys. Where a filter would be
+larger, keys are dealt by hash to parts, each with a cascade of its own, and
+pages are asked part by part: one more pass over the pages for each part, and still exact.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.shared import ascii_lower, stash
+from quillmark.llm.shared import ascii_lower, stash, unused
 
 # The rules of the production list (verdict, host, path).
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -109,10 +112,14 @@ class Cascade:
         return answer
 
 
+class TooLarge(Exception):
+    """A filter would be larger than allowed."""
+
+
 def _level(keys: DataFrame, n: int, bits_per_key: int, hashes: int, salt: int, max_filter_bytes: int) -> Level:
     bits = max(64, 64 * math.ceil(n * bits_per_key / 64))
-    if bits // 8 > max_filter_bytes:
-        raise ValueError(f"a filter of {bits // 8} bytes is over max_filter_bytes={max_filter_bytes}; split the list by key ranges")
+    if bits // 8 > max(8, max_filter_bytes):
+        raise TooLarge
     at = keys.select(F.explode(F.array(*probe(F.col("key"), bits, hashes, salt))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("held")
@@ -121,15 +128,8 @@ def _level(keys: DataFrame, n: int, bits_per_key: int, hashes: int, salt: int, m
     return Level(bits, hashes, salt, tuple(held.get(i, 0) for i in range(bits // 64)))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, *, max_filter_bytes: int = 16 << 20) -> Cascade:
-    """A cascade for the keys ``listed.key`` that is exact on ``universe.key``.
-
-    Listed keys outside the universe are ignored; null keys are never listed.
-    An empty list or universe gives a cascade that lists nothing.
-    """
-    keys = universe.select("key").where(F.col("key").isNotNull()).distinct()
-    marks = listed.select("key").distinct().withColumn("mark", F.lit(True))
-    known = stash(keys.join(marks, "key", "left").select("key", F.coalesce("mark", F.lit(False)).alias("listed")), "url-keys")
+def build_cascade(known: DataFrame, *, max_filter_bytes: int) -> Cascade:
+    """A cascade for ``known`` (key, listed), exact on its keys; raises TooLarge."""
     inside, outside = known.where("listed").select("key"), known.where(~F.col("listed")).select("key")
     levels: list[Level] = []
     while len(levels) < MAX_LEVELS:
@@ -146,6 +146,32 @@ def build_cascade(universe: DataFrame, listed: DataFrame, *, max_filter_bytes: i
     return Cascade(tuple(levels))
 
 
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def _is_of_part(part: int, parts: int, key: Column) -> Column:
+    return part_of(key, parts) == part
+
+
+def build_cascades(universe: DataFrame, listed: DataFrame, *, max_filter_bytes: int = 16 << 20) -> list[Cascade]:
+    """Cascades for the keys ``listed.key`` that are exact on ``universe.key``, one for each part of the keys.
+
+    Listed keys outside the universe are ignored; null keys are never listed. An empty
+    list or universe gives a cascade that lists nothing. There is one part unless a
+    filter would be over ``max_filter_bytes``; then there are twice as many, until none is.
+    """
+    keys = universe.select("key").where(F.col("key").isNotNull()).distinct()
+    marks = listed.select("key").distinct().withColumn("mark", F.lit(True))
+    known = stash(keys.join(marks, "key", "left").select("key", F.coalesce("mark", F.lit(False)).alias("listed")), "url-keys")
+    parts = 1
+    while True:
+        try:
+            return [build_cascade(known.where(part_of(F.col("key"), parts) == i) if parts > 1 else known, max_filter_bytes=max_filter_bytes) for i in range(parts)]
+        except TooLarge:
+            parts *= 2
+
+
 def filter_urls(
     pages: DataFrame,
     *,
@@ -168,7 +194,17 @@ def filter_urls(
     host, path = url_host(F.col(url)), url_path(F.col(url))
     hosts = pages.select(host.alias("host")).distinct()
     universe = hosts.select(F.explode(host_suffixes(F.col("host"))).alias("key"))
-    cascade = build_cascade(universe, listed, max_filter_bytes=max_filter_bytes)
+    cascades = build_cascades(universe, listed, max_filter_bytes=max_filter_bytes)
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    by_list = F.when(F.exists(host_suffixes(F.col("host")), cascade.listed), F.lit("block")).otherwise(F.lit("allow"))
-    return pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)})
+    judged = pages.withColumns({"host": host, "path": path})
+    suffixes, found = host_suffixes(F.col("host")), unused("_listed", judged.columns)
+    if len(cascades) == 1:
+        listed_here = F.exists(suffixes, cascades[0].listed)
+    else:
+        judged = judged.withColumn(found, F.lit(False))
+        for i, cascade in enumerate(cascades):
+            mine = F.filter(suffixes, partial(_is_of_part, i, len(cascades)))
+            judged = stash(judged.withColumn(found, F.col(found) | F.exists(mine, cascade.listed)), "url-part")
+        listed_here = F.col(found)
+    by_list = F.when(listed_here, F.lit("block")).otherwise(F.lit("allow"))
+    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_list)}).drop(found)

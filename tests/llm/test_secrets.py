@@ -88,3 +88,52 @@ def test_stretches_are_those_of_the_definition():
         n = [rng.randint(1, 6) for _ in range(rng.randint(0, 14))]
         at = [sum(n[:i]) for i in range(len(n) + 1)]
         assert S.stretches(n, 2.03125) == [(at[i], at[j]) for i, j in brute([2.03125 - x for x in n], 0, len(n))]
+
+
+def brute_random(text, encoder):
+    """Random spans by the definition: uncovered stretches of runs, each whole, or its parts of the greatest sums."""
+    covered = [False] * len(text)
+    runs = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text)]
+    for _, a, e in brute(text):
+        covered[a:e] = [True] * (e - a)
+    for lo, hi in runs:
+        for m in S.INSIDE.finditer(text[lo:hi]):
+            covered[lo + m.start() : lo + m.end()] = [True] * len(m[0])
+    known = lambda s: any(k.fullmatch(s) for k in S.KNOWN)
+
+    def greatest(w, lo, hi):
+        sums = [(-sum(w[i:j]), j - i, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not sums or min(sums)[0] >= 0:
+            return []
+        _, _, i, j = min(sums)
+        return [*greatest(w, lo, i), (i, j), *greatest(w, j, hi)]
+
+    out = []
+    for lo, hi in runs:
+        for part in re.finditer("0+", "".join("01"[covered[i]] for i in range(lo, hi))):
+            a, e = lo + part.start(), lo + part.end()
+            n = encoder.lengths(text[a:e])
+            if e - a < 20 or known(text[a:e]):
+                continue
+            if (e - a) / len(n) < S.LEAST_RATIO:
+                out.append((a, e))
+                continue
+            for i, j in greatest([S.LEAST_RATIO - x for x in n], 0, len(n)):
+                x, y = a + sum(n[:i]), a + sum(n[:j])
+                while x < y and text[x] in S.JOINTS:
+                    x += 1
+                while x < y and text[y - 1] in S.JOINTS:
+                    y -= 1
+                out += [(x, y)] if y - x >= 20 and not known(text[x:y]) else []
+    return out
+
+
+def test_random_spans_against_brute_force(encoder):
+    import random
+
+    rng = random.Random(7)
+    some = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    pieces = [lambda: some("abcdefXYZ0123456789", rng.randint(8, 30)), lambda: "documentation", lambda: some("0123456789abcdef", rng.choice([24, 32, 40])), lambda: "AKIA" + some("ABCDEFGH0123", 18), lambda: "token=" + some("abcXYZ019", 9), lambda: "settings", lambda: "12345678"]
+    for _ in range(120):
+        text = "".join(rng.choice(pieces)() + rng.choice("/_-  =") for _ in range(rng.randint(1, 4)))
+        assert [s[1:3] for s in S.find(text, encoder) if s[0] == "random"] == brute_random(text, encoder), text

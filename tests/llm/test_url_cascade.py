@@ -40,7 +40,7 @@ def test_empty_table(spark):
 def test_cascade_is_exact_over_its_universe_and_needs_several_levels(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 20_000, 7).select(F.concat(F.lit("k"), "id").alias("key")).union(spark.sql("select 'elsewhere'"))
-    cascade = U.build_cascade(universe, listed)
+    (cascade,) = U.build_cascades(universe, listed)
     assert len(cascade.levels) > 1
     wrong = universe.join(listed.withColumn("m", F.lit(True)), "key", "left").where(cascade.listed(F.col("key")) != F.coalesce("m", F.lit(False)))
     assert wrong.count() == 0
@@ -50,9 +50,18 @@ def test_cascade_is_exact_over_its_universe_and_needs_several_levels(spark):
 
 def test_cascade_of_nothing_and_bounds(spark):
     keys = spark.createDataFrame([("a",), (None,)], "key string")
-    none = U.build_cascade(keys, spark.createDataFrame([], "key string"))
+    (none,) = U.build_cascades(keys, spark.createDataFrame([], "key string"))
     assert [r[0] for r in keys.select(none.listed(F.col("key"))).collect()] == [False, False]
-    import pytest
 
-    with pytest.raises(ValueError):
-        U.build_cascade(spark.range(10_000).selectExpr("cast(id as string) key"), spark.range(10_000).selectExpr("cast(id as string) key"), max_filter_bytes=100)
+
+def test_lists_over_the_size_of_a_filter_are_asked_in_parts(spark):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, f"http://h{i}.org/") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("_listed", F.lit("mine"))
+    listed = [*U.LISTED_KEYS, *(f"h{i}.org" for i in range(0, 40, 2))]
+    universe = spark.createDataFrame([(f"h{i}.org",) for i in range(40)], "key string")
+    assert len(U.build_cascades(universe, spark.createDataFrame([(k,) for k in listed], "key string"), max_filter_bytes=16)) > 1
+    out = U.filter_urls(pages, listed=listed, max_filter_bytes=16)
+    assert out.columns == ["page_id", "url", "_listed", "host", "path", "rule", "verdict"]
+    for r in out.collect():
+        want = brute(r.url) if r.page_id < 100 else (f"h{r.page_id - 100}.org", "/", None, "allow" if r.page_id % 2 else "block")
+        assert (r.host, r.path, r.rule, r.verdict) == want and r._listed == "mine"

@@ -109,25 +109,12 @@ def q_contested_ownership(spark, folder):
     return versions.current_rows(li, ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("""with ids as (select distinct o_orderkey as record, o_custkey as work from orders where o_orderkey % 2 = 0),
-keys as (select distinct o.o_orderkey as record, c.c_custkey as work from orders o join customer c on o.o_custkey % 50 = c.c_custkey % 50 and c.c_mktsegment = 'BUILDING' where o.o_orderkey % 5 = 0)
-select record, work, 'id' as method, 1.0::double as confidence from ids union all
-select record, work, 'key', 0.7::double from keys k where not exists (select 1 from ids i where i.record = k.record and i.work = k.work)""")
-def q_two_method_crosswalk(spark, folder):
-    """Ids of every second order and keys of every fifth only, as its SQL; q_two_method_crosswalk_whole is over all orders."""
-    t = Tables(spark, folder)
-    ids = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("work"))
-    some = t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("record"), (F.col("o_custkey") % 50).alias("k"))
-    keys = some.join(t.customer.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 50).alias("k"), F.col("c_custkey").alias("work")), "k")
-    return links.two_method_links(ids, keys, "record", "work")
-
-
 @query("""with ids as (select distinct o_orderkey as record, o_custkey as work from orders),
 keys as (select distinct o.o_orderkey as record, c.c_custkey as work from orders o join customer c on o.o_custkey // 8 = c.c_custkey // 8 and c.c_mktsegment = 'BUILDING')
 select record, work, 'id' as method, 1.0::double as confidence from ids union all
 select record, work, 'key', 0.7::double from keys k where not exists (select 1 from ids i where i.record = k.record and i.work = k.work)""")
-def q_two_method_crosswalk_whole(spark, folder):
-    """Every order's link by id, and by a key of eight customers; no order is left out, and a key's customers do not grow with the table."""
+def q_two_method_crosswalk(spark, folder):
+    """Every order's link by id, and by a key of eight customers; a key's customers do not grow with the table."""
     t = Tables(spark, folder)
     ids = t.orders.select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("work"))
     cell = t.customer.where("c_mktsegment = 'BUILDING'").select(F.expr("c_custkey div 8").alias("k"), F.col("c_custkey").alias("work"))
@@ -206,24 +193,23 @@ def q_as_of_join(spark, folder):
     return found.select("event_id", F.col("o_orderkey").alias("last_order"))
 
 
-@query("""with r as (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_orderpriority, o_orderstatus order by o_orderkey) as pos, o_orderpriority, o_orderstatus from orders)
-select a.o_orderkey as one, b.o_orderkey as other from r a join r b on a.o_orderpriority = b.o_orderpriority and a.o_orderstatus = b.o_orderstatus and b.pos between a.pos + 1 and a.pos + 8 and abs(a.o_totalprice - b.o_totalprice) <= greatest(1024, 0.001 * greatest(a.o_totalprice, b.o_totalprice))""")
-def q_band_pairs(spark, folder):
-    """Pairs of an order and one of the next eight by order key, as its SQL; q_band_pairs_whole has all partners."""
-    o = Tables(spark, folder).orders.select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
-    near = lambda a, b: F.abs(a["o_totalprice"] - b["o_totalprice"]) <= F.greatest(F.lit(1024.0), F.greatest(a["o_totalprice"], b["o_totalprice"]) * 0.001)
-    found = links.near_in_sequence(o, on=["o_orderpriority", "o_orderstatus"], order="o_orderkey", within=8, condition=near)
-    return found.select(F.col("a.o_orderkey").alias("one"), F.col("b.o_orderkey").alias("other"))
-
-
 @query("""select a.o_orderkey as one, b.o_orderkey as other from orders a join orders b on a.o_orderpriority = b.o_orderpriority and a.o_orderstatus = b.o_orderstatus and a.o_orderkey < b.o_orderkey
 and abs(a.o_totalprice - b.o_totalprice) <= greatest(1024, 0.001 * greatest(a.o_totalprice, b.o_totalprice))""")
-def q_band_pairs_whole(spark, folder):
+def q_band_pairs(spark, folder):
     """All pairs of a priority and status whose prices are within the tolerance; they are as many as the prices are dense."""
     return links.within_tolerance(Tables(spark, folder).orders, on=["o_orderpriority", "o_orderstatus"], key="o_orderkey", value="o_totalprice", least=1024, share=0.001).select("one", "other")
 
 
-@query()
+@query("""with recursive p as (select a.o_orderkey as one, b.o_orderkey as other, -abs(a.o_totalprice - b.o_totalprice) as score from orders a join orders b
+on a.o_orderpriority = b.o_orderpriority and a.o_orderstatus = b.o_orderstatus and a.o_orderkey < b.o_orderkey and abs(a.o_totalprice - b.o_totalprice) <= 1024),
+r(one, other, score, taken) as (select one, other, score, false from p union all select one, other, score, taken from (
+with live as (select one, other, score, row_number() over (order by score desc, one, other) as k from r where not taken),
+best as (select id, min(k) as k from (select one as id, k from live union all select other, k from live) group by id),
+won as (select l.* from live l join (select k from best group by k having count(*) = 2) using (k)),
+ids as (select one as id from won union all select other from won)
+select one, other, score, true as taken from won union all
+select one, other, score, false from live where one not in (select id from ids) and other not in (select id from ids)))
+select one, other, score from r where taken""")
 def q_band_pairs_greedy(spark, folder):
     """Greedy one-to-one matches of all pairs within 1024 of a priority and status, closest first; an order is in one pair at most."""
     _checkpoints(spark)
@@ -244,18 +230,11 @@ def _supply_edges(lines):
     return lines.select(F.col("l_suppkey").alias("a"), (F.lit(100000) + F.col("l_partkey") % 997).alias("b"))
 
 
-@query("""with recursive e as (select distinct l_suppkey as a, 100000 + l_partkey % 997 as b from lineitem where l_orderkey % 50 = 0), s as (select a, b from e union select b, a from e),
-c(node, comp) as (select a, a from s union select s.b, c.comp from c join s on s.a = c.node where c.comp < s.b)
-select node, min(comp) as component from c group by node""")
+@query("""with recursive s as (select l_suppkey as a, 100000 + l_partkey % 997 as b from lineitem union select 100000 + l_partkey % 997, l_suppkey from lineitem),
+c(node, component) using key (node) as (select distinct a, a from s union select s.b, min(c.component) from c join s on s.a = c.node join recurring.c as old on old.node = s.b where c.component < old.component group by s.b)
+select node, component from c""")
 def q_connected_components(spark, folder):
-    """Components over the lines of every fiftieth order only, as its SQL; q_connected_components_whole is over all lines."""
-    _checkpoints(spark)
-    return sequences.label_spread(_supply_edges(Tables(spark, folder).lineitem.where("l_orderkey % 50 = 0")))
-
-
-@query()
-def q_connected_components_whole(spark, folder):
-    """Suppliers and part groups that any line connects; recursive SQL would list every node beside every label it meets, so tests hold it against union-find."""
+    """Suppliers and part groups that any line connects."""
     _checkpoints(spark)
     return sequences.label_spread(_supply_edges(Tables(spark, folder).lineitem))
 

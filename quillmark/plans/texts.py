@@ -33,21 +33,21 @@ def q_tokens(spark, folder):
     return Tables(spark, folder).documents.select(F.explode(text.words(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _list(words):
-    return "[" + ",".join(f"'{w}'" for w in words) + "]"
-
-
-@query(f"""with t as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}]+') as w from documents),
-h as (select doc_id, len(w) as n, len(list_filter(w, lambda x: list_contains({_list(text.STOPWORDS['la'])}, x))) as la, len(list_filter(w, lambda x: list_contains({_list(text.STOPWORDS['fr'])}, x))) as fr,
-len(list_filter(w, lambda x: list_contains({_list(text.STOPWORDS['de'])}, x))) as de from t),
-r as (select *, greatest(la, fr, de) as top_hits, la + fr + de as total, la + fr + de - greatest(la, fr, de) - least(la, fr, de) as second_hits from h)
-select doc_id, cast(n as int) as n_tokens, case when n < 8 or top_hits < 2 then 'unknown' when top_hits / total >= 0.65 then case when la = top_hits then 'la' when fr = top_hits then 'fr' else 'de' end
+@query(f"""with t as (select doc_id, lang, {_WORDS} as w from documents),
+k as (select lang, token, row_number() over (partition by lang order by count(distinct doc_id) desc, token) as rn from (select lang, doc_id, unnest(w) as token from t) where lang is not null group by lang, token),
+o as (select token, min(lang) as l from k where rn <= 40 group by token),
+h as (select doc_id, l, count(*) as hits from (select doc_id, unnest(w) as token from t) join o using (token) group by 1, 2),
+p as (select doc_id, len(w) as n, coalesce((select list_sort(list(hits), 'desc') from h where h.doc_id = t.doc_id), []) as s, (select arg_max(l, struct_pack(a := hits, b := -ascii(l) * 1000 - ascii(substr(l, 2)))) from h where h.doc_id = t.doc_id) as best from t),
+r as (select doc_id, n, best, coalesce(s[1], 0) as top_hits, coalesce(s[2], 0) as second_hits, coalesce(list_sum(s), 0) as total from p)
+select doc_id, cast(n as int) as n_tokens, case when n < 8 or top_hits < 2 then 'unknown' when top_hits / total >= 0.65 then best
 when second_hits / total >= 0.25 then 'mixed' else 'unknown' end as verdict, round(case when total > 0 then top_hits / total else 0 end, 6) as score from r""")
 def q_stopword_langid(spark, folder):
+    """Verdicts by the forty commonest words of each labelled language; a word of several is the first one's."""
     d = Tables(spark, folder).documents
-    tokens = d.select("doc_id", text.language_tokens(F.col("text")).alias("w"))
-    hits = tokens.select("doc_id", F.size("w").alias("n_tokens"), *(h.alias(k) for k, h in text.stopword_hits(F.col("w")).items()))
-    v = text.language_verdict(F.col("n_tokens"), {k: F.col(k) for k in text.STOPWORDS})
+    tokens = d.select("doc_id", "lang", text.language_tokens(F.col("text")).alias("w"))
+    lists = search.common_words(tokens, "lang", "doc_id", "w", 40)
+    hits = tokens.select("doc_id", F.size("w").alias("n_tokens"), *(h.alias(f"_{k}") for k, h in text.stopword_hits(F.col("w"), lists).items()))
+    v = text.language_verdict(F.col("n_tokens"), {k: F.col(f"_{k}") for k in lists})
     return hits.select("doc_id", "n_tokens", v["lang"].alias("verdict"), F.round(v["score"], 6).alias("score"))
 
 
@@ -114,39 +114,28 @@ def q_crc_shards(spark, folder):
     return Tables(spark, folder).documents.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select a.item_id as one, b.item_id as other, cast(levenshtein(a.text, b.text) as int) as edits, round(1 - levenshtein(a.text, b.text)::double / greatest(length(a.text), length(b.text)), 6) as like_
-from benchmark a join benchmark b on b.item_id = a.item_id + 1 where regexp_full_match(a.text || b.text, '[\\x00-\\x7F]*')""")
-def q_levenshtein_pairs(spark, folder):
-    """Pairs of ASCII texts only, as its SQL, which counts bytes; q_levenshtein_pairs_whole has all pairs."""
-    b = Tables(spark, folder).benchmark
-    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("text2"))
-    pairs = b.join(other, "item_id").where(F.rlike(F.concat("text", "text2"), F.lit(r"^[\x00-\x7F]*$")))
-    return pairs.select(F.col("item_id").alias("one"), "other", F.levenshtein("text", "text2").alias("edits"), F.round(text.similarity(F.col("text"), F.col("text2")), 6).alias("like_"))
+def _one_byte(table, text):
+    """SQL of ``translate`` arguments that give each letter beyond ASCII a control character, as the SQL's levenshtein counts bytes; for 24 such letters or fewer."""
+    controls = "".join(f" || chr({i})" for i in [*range(1, 9), *range(14, 30)]).removeprefix(" || ")
+    letters = f"(select coalesce(string_agg(c, '' order by c), '') from (select distinct unnest(string_split({text}, '')) as c from {table}) where ord(c) > 127)"
+    return f"{letters}, substr({controls}, 1, length({letters}))"
 
 
-@query()
-def q_levenshtein_pairs_whole(spark, folder):
+@query(f"""with b as (select item_id, translate(text, {_one_byte('benchmark', 'text')}) as t, length(text) as n from benchmark)
+select a.item_id as one, b.item_id as other, cast(levenshtein(a.t, b.t) as int) as edits, round(1 - levenshtein(a.t, b.t)::double / greatest(a.n, b.n), 6) as like_ from b a join b on b.item_id = a.item_id + 1""")
+def q_levenshtein_pairs(spark, folder):
     """Edits between each benchmark text and the next, in code points."""
     b = Tables(spark, folder).benchmark
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("other"), F.col("text").alias("text2"))
     return b.join(other, "item_id").select(F.col("item_id").alias("one"), "other", F.levenshtein("text", "text2").alias("edits"), F.round(text.similarity(F.col("text"), F.col("text2")), 6).alias("like_"))
 
 
-_TURNS = """with p as (select role, text as r, lead(text) over (partition by conv_id order by turn) as h from conversations), q as (select role, r, h, levenshtein(r, h) as e, length(r) as n from p where h is not null and regexp_full_match(r || h, '[\\x00-\\x7F]*'))"""
+_TURNS = f"""with x as (select conv_id, turn, role, translate(text, {_one_byte('conversations', 'text')}) as text from conversations),
+p as (select role, text as r, lead(text) over (partition by conv_id order by turn) as h from x), q as (select role, r, h, levenshtein(r, h) as e, length(r) as n from p where r is not null and h is not null)"""
 
 
 @query(f"""{_TURNS} select role, round(cast(sum(e) as double) / sum(n), 6) as micro_cer, round(avg(case when n > 0 then e::double / n when e > 0 then 1 else 0 end), 6) as macro_cer, cast(sum(e) as bigint) as edits, cast(sum(n) as bigint) as chars, count(*) as lines from q group by 1""")
 def q_cer_micro_macro(spark, folder):
-    """Error rates over ASCII pairs only, as its SQL, which counts bytes; q_cer_micro_macro_whole is over all pairs."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = Tables(spark, folder).conversations.select("role", F.col("text").alias("r"), F.lead("text").over(w).alias("h"))
-    c = c.where(F.col("h").isNotNull() & F.rlike(F.concat("r", "h"), F.lit(r"^[\x00-\x7F]*$")))
-    rates = evaluation.error_rates(c, ["role"], "r", "h")
-    return rates.withColumns({k: F.round(k, 6) for k in ("micro_cer", "macro_cer")})
-
-
-@query()
-def q_cer_micro_macro_whole(spark, folder):
     """Error rates between each turn and the next, in code points."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = Tables(spark, folder).conversations.select("role", F.col("text").alias("r"), F.lead("text").over(w).alias("h")).where("r is not null and h is not null")
@@ -376,18 +365,10 @@ def q_dehyphenate_concat(spark, folder):
     return sequences.joined_lines(c.select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
 
 
-@query("""with a as (select item_id, substr(text, pos, 20) as gram from (select item_id, unnest(range(1, length(text) - 18)) as pos, text from benchmark)),
-b as (select doc_id, substr(text, pos, 20) as gram from (select doc_id, unnest(range(1, length(text) - 18)) as pos, text from documents)),
-ra as (select gram from a group by 1 having count(*) <= 8), rb as (select gram from b group by 1 having count(*) <= 8)
-select item_id, doc_id, count(*) as n from a join b using (gram) where gram in (select gram from ra) and gram in (select gram from rb) group by 1, 2""")
+@query("""with a as (select item_id, length(text) as la, substr(text, pos, 20) as gram, count(*) as x from (select item_id, unnest(range(1, length(text) - 18)) as pos, text from benchmark) group by all),
+b as (select doc_id, lb, gram, count(*) as y from (select doc_id, length(text) as lb, substr(text, pos, 20) as gram from (select doc_id, unnest(range(1, length(text) - 18)) as pos, text from documents)) where gram in (select gram from a) group by all)
+select item_id, doc_id, cast(sum(x * y) as bigint) as n from a join b using (gram) where case when la <= lb then x else y end <= 8 group by 1, 2""")
 def q_kgram_anchors(spark, folder):
-    """Anchors of grams that are rare in both whole tables, as its SQL; q_kgram_anchors_whole keeps those that many texts share."""
-    t = Tables(spark, folder)
-    return sequences.anchors(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8).select("item_id", "doc_id", "n")
-
-
-@query()
-def q_kgram_anchors_whole(spark, folder):
     """Anchors of all pairs of a benchmark passage and a document, by grams that are rare in the shorter of the two."""
     t = Tables(spark, folder)
     return sequences.anchors_by_text(t.benchmark, t.documents, a_key="item_id", b_key="doc_id", text="text", k=20, most=8).select("item_id", "doc_id", "n")

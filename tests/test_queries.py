@@ -6,8 +6,6 @@ from oracle import SMALL
 
 from quillmark.plans import QUERIES, SQL
 
-#: Where the SQL itself needs more than the small set's time; the driver runs them at its own size.
-SLOW = {"q_kgram_anchors"}
 #: No page of the small set has a table, and its hits fill no second page.
 EMPTY = {"q_html_tables", "q_search_page"}
 
@@ -17,7 +15,7 @@ def con():
     return oracle.tables(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, con, name):
     assert oracle.difference(QUERIES[name](spark, SMALL), con, SQL[name]) == ""
 

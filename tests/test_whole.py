@@ -32,7 +32,7 @@ def test_components_are_those_of_all_lines(spark, tmp_path):
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     for folder in (str(tmp_path), SMALL):
         rows = spark.read.parquet(f"{folder}/lineitem.parquet").collect()
-        found = {r.node: r.component for r in QUERIES["q_connected_components_whole"](spark, folder).collect()}
+        found = {r.node: r.component for r in QUERIES["q_connected_components"](spark, folder).collect()}
         assert found == union_find([(r.l_suppkey, 100000 + r.l_partkey % 997) for r in rows])
 
 
@@ -44,7 +44,7 @@ def test_crosswalk_links_every_order_and_key(spark):
         if c.c_mktsegment == "BUILDING":
             near.setdefault(c.c_custkey // 8, []).append(c.c_custkey)
     keys = {(o.o_orderkey, c) for o in orders for c in near.get(o.o_custkey // 8, [])} - ids
-    found = {(r.record, r.work, r.method) for r in QUERIES["q_two_method_crosswalk_whole"](spark, SMALL).collect()}
+    found = {(r.record, r.work, r.method) for r in QUERIES["q_two_method_crosswalk"](spark, SMALL).collect()}
     assert found == {(*p, "id") for p in ids} | {(*p, "key") for p in keys}
 
 
@@ -65,7 +65,7 @@ def test_band_pairs_are_those_of_the_whole_block(spark, tmp_path):
         orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
         block = [(a, b) for a in orders for b in orders if a.o_orderkey < b.o_orderkey and None not in (a.o_orderstatus, b.o_orderstatus) and (a.o_orderpriority, a.o_orderstatus) == (b.o_orderpriority, b.o_orderstatus)]
         apart = lambda a, b: abs(a.o_totalprice - b.o_totalprice)
-        found = [(r.one, r.other) for r in QUERIES["q_band_pairs_whole"](spark, folder).collect()]
+        found = [(r.one, r.other) for r in QUERIES["q_band_pairs"](spark, folder).collect()]
         assert sorted(found) == sorted((a.o_orderkey, b.o_orderkey) for a, b in block if apart(a, b) <= max(1024, 0.001 * max(a.o_totalprice, b.o_totalprice)))
         matched = {(r.one, r.other, r.score) for r in QUERIES["q_band_pairs_greedy"](spark, folder).collect()}
         assert matched == greedy([(a.o_orderkey, b.o_orderkey, -apart(a, b)) for a, b in block if apart(a, b) <= 1024])
@@ -88,13 +88,13 @@ def test_whole_texts_and_other_scripts_count(spark, tmp_path):
     spark.createDataFrame([(i, x[3]) for i, x in enumerate(turns)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     pairs = [(a[2], a[3], b[3], edit_distance(a[3], b[3])) for a, b in itertools.pairwise(turns) if a[0] == b[0]]
     mix = {r.role: r for r in QUERIES["q_edit_mix"](spark, str(tmp_path)).collect()}
-    rates = {r.role: r for r in QUERIES["q_cer_micro_macro_whole"](spark, str(tmp_path)).collect()}
+    rates = {r.role: r for r in QUERIES["q_cer_micro_macro"](spark, str(tmp_path)).collect()}
     for role in ("user", "bot"):
         own = [p[1:] for p in pairs if p[0] == role]
         edits, chars = sum(e for _, _, e in own), sum(len(r) for r, _, _ in own)
         assert mix[role].subs + mix[role].inss + mix[role].dels == edits and mix[role].inss - mix[role].dels == sum(len(h) - len(r) for r, h, _ in own)
         assert (rates[role].edits, rates[role].chars, rates[role].lines, rates[role].micro_cer) == (edits, chars, len(own), round(edits / chars, 6))
-    found = sorted((r.one, r.other, r.edits) for r in QUERIES["q_levenshtein_pairs_whole"](spark, str(tmp_path)).collect())
+    found = sorted((r.one, r.other, r.edits) for r in QUERIES["q_levenshtein_pairs"](spark, str(tmp_path)).collect())
     assert found == [(i, i + 1, edit_distance(a[3], b[3])) for i, (a, b) in enumerate(itertools.pairwise(turns))]
 
 
@@ -123,7 +123,7 @@ def test_a_passage_in_many_documents_keeps_its_anchors(spark, tmp_path):
             n = sum(x[g] * y[g] for g in x if y[g] and (x if len(a) <= len(b or "") else y)[g] <= 8)
             want |= {(i, j): n} if n else {}
     assert sum(i == 0 for i, _ in want) == 13 and (1, 12) in want and (2, 14) not in want
-    assert {(r.item_id, r.doc_id): r.n for r in QUERIES["q_kgram_anchors_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r.item_id, r.doc_id): r.n for r in QUERIES["q_kgram_anchors"](spark, str(tmp_path)).collect()} == want
     b, d = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("benchmark", "documents"))
     beyond = S.anchors_by_text(b, d, a_key="item_id", b_key="doc_id", text="text", k=20, most=8, few=0)
     assert {(r.item_id, r.doc_id): r.n for r in beyond.collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import evaluation, links, sampling, sequences, versions
 from quillmark.plans.registry import Tables, query
+from quillmark.session import shared_folder
 
 # Events stand for versioned lines: a user and day is a line, a type is a stage, an event is a run.
 _STAGE = "case event_type when 'purchase' then 2 when 'click' then 1 else 0 end"
@@ -212,20 +213,11 @@ select one, other, score, false from live where one not in (select id from ids)
 select one, other, score from r where taken""")
 def q_band_pairs_greedy(spark, folder):
     """Greedy one-to-one matches of all pairs within 1024 of a priority and status, closest first; an order is in one pair at most."""
-    _checkpoints(spark)
+    shared_folder(spark)
     pairs = links.within_tolerance(Tables(spark, folder).orders, on=["o_orderpriority", "o_orderstatus"], key="o_orderkey", value="o_totalprice", least=1024)
     return links.greedy_matching(pairs.select("one", "other", (-F.col("apart")).alias("score")), "one", "other", "score")
 
 
-def _checkpoints(spark):
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmark-"))
-
-
 def _supply_edges(lines):
     return lines.select(F.col("l_suppkey").alias("a"), (F.lit(100000) + F.col("l_partkey") % 997).alias("b"))
 
@@ -235,7 +227,7 @@ c(node, component) using key (node) as (select distinct a, a from s union select
 select node, component from c""")
 def q_connected_components(spark, folder):
     """Suppliers and part groups that any line connects."""
-    _checkpoints(spark)
+    shared_folder(spark)
     return sequences.label_spread(_supply_edges(Tables(spark, folder).lineitem))
 
 

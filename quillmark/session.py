@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on; a cluster's own sizing settings are left alone.
@@ -14,6 +16,23 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; also set for checkpoints.
+
+    A local session without the setting gets a temporary one; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
 def build_session(app: str = "quillmark", master: str | None = None, **settings: str) -> SparkSession:
     """A session with SETTINGS; ``master`` only for local runs, ``settings`` override."""
     builder = SparkSession.builder.appName(app)

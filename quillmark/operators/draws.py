@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import seeded_order
 from quillmark.operators.sampling import round_robin, stratified
+from quillmark.operators.sequences import running
 
 
 def gold_counts(rows: int, truths: int, wrong: int, gold_rate: float, wrong_share: float) -> tuple[int, int]:
@@ -59,15 +60,8 @@ def with_gold(rows: DataFrame, *, stratum: str, key: str, minority: str, gold: D
 
 
 def shuffled(rows: DataFrame, key: str, *, seed: int | str) -> DataFrame:
-    """``rows`` with ``place`` in a seeded order, dealt by range and numbered from counts of the ranges, so no task holds them all."""
-    order = seeded_order(seed, F.col(key))
-    spark = rows.sparkSession
-    dealt = rows.withColumn("_o", order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_o", key).sortWithinPartitions("_o", key).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.checkpoint()
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # a row a partition
-    own = F.row_number().over(Window.partitionBy("_p").orderBy("_o", key))
-    return dealt.withColumn("_own", own).join(F.broadcast(sizes.select("_p", "_base")), "_p").withColumn("place", F.col("_base") + F.col("_own")).drop("_p", "_o", "_own", "_base")
+    """``rows`` with ``place`` in a seeded order."""
+    return running(rows.withColumn("_order", seeded_order(seed, F.col(key))), [], ["_order", key], name="place").drop("_order")
 
 
 def whole_groups_to(groups: DataFrame, cell: Sequence[str], key: str, size: str, budget: int, *, seed: int | str) -> DataFrame:

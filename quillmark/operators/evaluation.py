@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.sequences import running
+
 
 def rate(edits: Column, length: Column) -> Column:
     """edits / length; 0 for 0 of 0, 1 for any edits of 0."""
@@ -70,28 +72,45 @@ def agreement(a: DataFrame, b: DataFrame, key: str, verdict: str) -> DataFrame:
     return joined.groupBy("verdict_a", "verdict_b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranges(rows: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """(groups, value, _from, _to, _all): the ranks from 0 that each distinct value of a group takes; no group's values meet in one task."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(counted, groups, [value], value="_n", name="_to").withColumn("_from", F.col("_to") - F.col("_n"))
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(*(F.col(g).alias(f"_s_{g}") for g in groups)).agg(F.count(F.lit(1)).alias("_all"))
+    if not groups:
+        return ranked.crossJoin(F.broadcast(sizes))  # one row
+    return ranked.join(sizes, [F.col(g).eqNullSafe(F.col(f"_s_{g}")) for g in groups])
+
+
 def quantile_band(rows: DataFrame, groups: Sequence[str], value: str, at: Sequence[float] = (0.025, 0.5, 0.975)) -> DataFrame:
-    """Interpolated quantiles of each group as low, mid and high."""
-    q = F.percentile(value, F.array(*map(F.lit, at)))
-    return rows.groupBy(*groups).agg(q.alias("_q")).select(*groups, *(F.get("_q", i).alias(n) for i, n in enumerate(("low", "mid", "high"))))
+    """Interpolated quantiles of each group as low, mid and high, from counts of distinct values."""
+    ranked = _ranges(rows, groups, value)
+
+    def quantile(p: float) -> Column:
+        place = (F.col("_all") - 1) * p
+        low = F.floor(place)
+        has = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_to"))
+        below, above = (F.max(F.when(has(rank), F.col(value).cast("double"))) for rank in (low, F.ceil(place)))
+        share = F.max(place - low)
+        return below + (above - below) * share
+
+    return ranked.groupBy(*groups).agg(*(quantile(p).alias(n) for p, n in zip(at, ("low", "mid", "high"), strict=True)))
 
 
 def nearest_rank(rows: DataFrame, value: str, at: Sequence[float]) -> DataFrame:
     """(p, value): the value at rank ceil(p n), from counts of distinct values."""
-    counted = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    through = F.sum("_n").over(Window.orderBy(value))
-    ranked = counted.select(value, through.alias("_to"), (through - F.col("_n")).alias("_from"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    wanted = ranked.withColumn("p", F.explode(F.array(*map(F.lit, at)))).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("_all"))))
+    wanted = _ranges(rows, [], value).withColumn("p", F.explode(F.array(*map(F.lit, at)))).withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("_all"))))
     return wanted.where((F.col("_rank") > F.col("_from")) & (F.col("_rank") <= F.col("_to"))).select("p", value)
 
 
-def bootstrap(rows: DataFrame, groups: Sequence[str], numerator: str, denominator: str, *, resamples: int = 1000, confidence: float = 0.95, seed: int = 0, chunks: int = 64) -> DataFrame:
+def bootstrap(rows: DataFrame, groups: Sequence[str], numerator: str, denominator: str, *, resamples: int = 1000, confidence: float = 0.95, seed: int = 0, chunks: int = 64, key: str | None = None) -> DataFrame:
     """Percentile intervals of sum(numerator) / sum(denominator) by the Poisson bootstrap.
 
     Each chunk of rows makes its ``resamples`` sums by itself (a row's weights are
-    drawn from its chunk's seed), and chunks are added: no group meets in one task.
+    drawn from its chunk's seed), and chunks are added: no group meets in one task. Rows are
+    dealt to chunks by ``key``; without one by all their columns, so equal rows share a chunk.
     """
-    spread = F.pmod(F.xxhash64(numerator, denominator), F.lit(chunks))
+    spread = F.pmod(F.xxhash64(*([key] if key else rows.columns)), F.lit(chunks))
     numbered = rows.select(*groups, F.col(numerator).cast("double").alias("_x"), F.col(denominator).cast("double").alias("_y"), spread.alias("_chunk"))
 
     def sums(pdf):

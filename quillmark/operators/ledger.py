@@ -78,7 +78,7 @@ def states_set(pages: DataFrame, results: DataFrame, *, page: str = "page_id") -
     return joined.withColumns({c: F.when(took, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("status", "skip_reason")}).select(*pages.columns)
 
 
-def with_owner(pairs: DataFrame, *, owner: str = "record_id", source: str = "source", field: str = "piece") -> DataFrame:
+def with_owner(pairs: DataFrame, *, owner: str = "record_id", source: str = "source", field: str = "katalog") -> DataFrame:
     """``pairs`` whose missing owners are read out of their provenance."""
     return pairs.withColumn(owner, F.coalesce(F.col(owner), source_field(F.col(source), field)))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.sequences import running
 from quillmark.operators.versions import current_rows
 
 
@@ -76,8 +77,8 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Seq
 
 
 def inverted(table: DataFrame, keys: Column, value: str) -> DataFrame:
-    """(key, values): an inverted index from an array of keys."""
-    return table.select(F.explode(keys).alias("key"), value).where("key is not null").groupBy("key").agg(F.sort_array(F.collect_set(value)).alias("values"))
+    """(key, value): the postings of an inverted index from an array of keys, each once; no row grows with a key."""
+    return table.select(F.explode(keys).alias("key"), value).where("key is not null").distinct()
 
 
 def exclusive_pairs(pairs: DataFrame, *, block: Sequence[str], a: str, b: str, score: str) -> DataFrame:
@@ -144,12 +145,18 @@ def within_tolerance(rows: DataFrame, *, on: Sequence[str], key: str, value: str
     return found.select(F.least("_k1", "_k2").alias("one"), F.greatest("_k1", "_k2").alias("other"), F.abs(F.col("_v1") - F.col("_v2")).alias("apart"))
 
 
-def near_in_sequence(rows: DataFrame, *, on: Sequence[str], order: str, within: int, condition) -> DataFrame:
+def near_in_sequence(rows: DataFrame, *, on: Sequence[str], order: str, within: int, condition, stretch: int = 10_000) -> DataFrame:
     """Pairs of a row and one of the next ``within`` rows of its group that ``condition(a, b)`` holds for.
 
-    By one window: a row carries those after it, so no self-join and no pairs of a whole group.
+    A row carries those after it by a window, so there is no self-join and no pairs of a whole
+    group. Groups are cut into stretches of rows, each with copies of the first rows of the
+    next, so a group of any size is shared by many tasks.
     """
     row = F.struct(*rows.columns)
-    w = Window.partitionBy(*on).orderBy(order).rowsBetween(1, within)
-    paired = rows.select(row.alias("a"), F.collect_list(row).over(w).alias("_next")).select("a", F.explode("_next").alias("b"))
-    return paired.where(condition(F.col("a"), F.col("b")))
+    placed = running(rows, on, [order], name="_at").withColumn("_cell", F.floor((F.col("_at") - 1) / stretch))
+    early = (F.col("_cell") > 0) & ((F.col("_at") - 1) % stretch < within)
+    cells = F.when(early, F.array(F.col("_cell"), F.col("_cell") - 1)).otherwise(F.array("_cell"))
+    dealt = placed.withColumn("_in", F.explode(cells))
+    w = Window.partitionBy(*on, "_in").orderBy("_at").rowsBetween(1, within)
+    paired = dealt.select(row.alias("a"), (F.col("_in") == F.col("_cell")).alias("_own"), F.collect_list(row).over(w).alias("_next")).where("_own")
+    return paired.select("a", F.explode("_next").alias("b")).where(condition(F.col("a"), F.col("b")))

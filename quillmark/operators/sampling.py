@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import seeded_order
+from quillmark.operators.sequences import running
 
 
 def equal_quotas(available: Mapping[str, int], n: int) -> dict[str, int]:
@@ -64,7 +65,8 @@ def stratified(rows: DataFrame, stratum: Sequence[str], key: str, quota: Column
 def round_robin(rows: DataFrame, group: str, key: str, n: int, *, seed: int | str) -> DataFrame:
     """n rows, one of each group a round, groups and rows in seeded order."""
     w = Window.partitionBy(group).orderBy(seeded_order(seed, F.col(key)), key)
-    dealt = rows.withColumn("_round", F.row_number().over(w)).withColumn("_group", seeded_order(seed, F.col(group)))
+    # no group gives more than n
+    dealt = rows.withColumn("_round", F.row_number().over(w)).where(F.col("_round") <= n).withColumn("_group", seeded_order(seed, F.col(group)))
     return dealt.orderBy("_round", "_group", group).limit(n).drop("_round", "_group")
 
 
@@ -83,8 +85,8 @@ def whole_groups(rows: DataFrame, group: str, key: str, share: float, *, seed: i
 
 def halves(rows: DataFrame, cell: Sequence[str], key: str, *, seed: int | str) -> DataFrame:
     """``rows`` with half a or b, dealt in turn within each cell."""
-    w = Window.partitionBy(*cell).orderBy(seeded_order(seed, F.col(key)), key)
-    return rows.withColumn("half", F.when(F.pmod(F.row_number().over(w), F.lit(2)) == 1, "a").otherwise("b"))
+    numbered = running(rows.withColumn("_order", seeded_order(seed, F.col(key))), cell, ["_order", key], name="_n")
+    return numbered.withColumn("half", F.when(F.pmod("_n", F.lit(2)) == 1, "a").otherwise("b")).drop("_order", "_n")
 
 
 def coin(seed: int | str, key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import let
+from quillmark.session import shared_folder
 
 
 def islands(rows: DataFrame, on: Sequence[str], at: str, gap: int = 1) -> DataFrame:
@@ -48,30 +49,10 @@ def shingles(text: Column, k: int) -> Column:
     return F.when(last >= 1, let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), grams)).otherwise(F.array().cast("array<string>"))
 
 
-def anchors(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k: int = 8, most: int = 8) -> DataFrame:
-    """(a_key, b_key, n, first_a, first_b): shared k-grams of two tables that occur ``most`` times or fewer in each.
-
-    ``a`` is the smaller table. Grams of ``b`` that ``a`` lacks go first, then common
-    ones by counts, so no key of the last join is large. The counts are of whole tables, so what
-    many texts share gives no anchor; ``anchors_by_text`` counts within the texts of a pair.
-    """
-
-    def grams(t, key, side):
-        return t.select(F.col(key), F.posexplode(shingles(F.col(text), k)).alias(f"at_{side}", "gram"))
-
-    def rare(each):
-        few = each.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("gram")
-        return each.join(few, "gram", "left_semi")
-
-    ours = grams(a, a_key, "a")
-    met = rare(ours).join(rare(grams(b, b_key, "b").join(ours.select("gram").distinct(), "gram", "left_semi")), "gram")
-    return met.groupBy(a_key, b_key).agg(F.count(F.lit(1)).alias("n"), F.min("at_a").alias("first_a"), F.min("at_b").alias("first_b"))
-
-
 def anchors_by_text(a: DataFrame, b: DataFrame, *, a_key: str, b_key: str, text: str, k: int = 8, most: int = 8, few: int = 200_000, parts: int = 16) -> DataFrame:
     """(a_key, b_key, n, first_a, first_b): shared k-grams that occur ``most`` times or fewer in the shorter text of the pair (``a``'s on ties).
 
-    ``n`` counts pairs of places, as ``anchors`` does; a gram counts however many texts have it. Keys
+    ``n`` counts pairs of places; a gram counts however many texts have it. Keys
     are unique and not null. ``a`` is the smaller table: up to ``few`` grams of it, counted first, are broadcast, so
     grams of ``b`` that ``a`` lacks are never dealt out; beyond that each stands in the join
     ``parts`` times and a text of ``b`` meets one of them, so a frequent gram is dealt over ``parts`` keys.
@@ -97,23 +78,41 @@ def sessions(rows: DataFrame, on: Sequence[str], at: str, gap: str) -> DataFrame
     return rows.groupBy(*on, F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(*on, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def label_spread(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
+def label_spread(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that edges (a, b) reach, by repeated minima until nothing changes.
 
-    Pre-aggregated: a node's neighbours are never collected, only their least label is kept.
+    Pre-aggregated: a node's neighbours are never collected, only their least label is kept. A
+    label is followed to its own label each round, so chains shorten by half or more. Needs a checkpoint folder.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    labels = labels.checkpoint()
-    for _ in range(rounds):
+    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        found = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"))
+        found = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("before"), F.least("component", F.coalesce("least", "component")).alias("component"))
         # a label is itself a node: its own label is at least as small
         jump = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        found = found.join(jump, found["component"] == jump["_n"]).select("node", F.least("component", "_c").alias("component")).checkpoint()
-        moved = found.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before")
-        done = moved.isEmpty()
-        labels = found
-        if done:
+        moved = found.join(jump, found["component"] == jump["_n"]).select("node", "before", F.least("component", "_c").alias("component")).checkpoint()
+        labels = moved.select("node", "component")
+        if moved.where("component <> before").isEmpty():
             return labels
-    raise RuntimeError(f"not settled after {rounds} rounds")
+
+
+def running(rows: DataFrame, on: Sequence[str], order: Sequence[Column | str], *, value: str | None = None, name: str = "n") -> DataFrame:
+    """``rows`` with ``name``: the running sum of ``value`` in its group's order, or without one the row's number from 1.
+
+    Rows are dealt by ranges of (on, order) and written; a range's sums are a row for
+    each of its groups, and what stands before a range is added to the sums within it. So a group of
+    any size is shared by many tasks, as a window over it would not be.
+    """
+    spark = rows.sparkSession
+    shared_folder(spark)
+    own = F.lit(1).cast("long") if value is None else F.col(value)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_own", own).repartitionByRange(parts, *on, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy(*on).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*on, "_range").agg(F.sum("_own").alias("_s")).withColumn("_base", F.sum("_s").over(before))
+    bases = sums.where("_base is not null").select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_b_{k}") for k in on), "_base")
+    within = Window.partitionBy("_range", *on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col("_range") == F.col("_r"), *(F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in on)]
+    summed = dealt.withColumn("_sum", F.sum("_own").over(within)).join(bases, same, "left")
+    return summed.select(*rows.columns, (F.col("_sum") + F.coalesce("_base", F.lit(0))).alias(name))

@@ -66,9 +66,9 @@ def upsert_if_higher(old: DataFrame, new: DataFrame, keys: Sequence[str], value:
     return current_rows(both, keys, [F.col(value).desc_nulls_last(), F.col("_new")]).drop("_new")
 
 
-def replace_owned(pairs: DataFrame, *, line: str, confidence: str, owner: str) -> DataFrame:
+def replace_owned(pairs: DataFrame, *, line: str, confidence: str, owner: str, ties: Sequence[str] = ()) -> DataFrame:
     """Of contesting owners of a line the higher confidence wins, then the lesser owner as text; order of arrival is nothing."""
-    return current_rows(pairs, [line], [F.col(confidence).desc(), F.col(owner).cast("string")])
+    return current_rows(pairs, [line], [F.col(confidence).desc(), F.col(owner).cast("string"), *map(F.col, ties)])
 
 
 def delete_keys(table: DataFrame, keys_gone: DataFrame, keys: Sequence[str]) -> DataFrame:

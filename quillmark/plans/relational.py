@@ -106,8 +106,8 @@ def q_upsert_conditional(spark, folder):
 @query("""select l_partkey, l_orderkey, l_linenumber, l_quantity from (select *, row_number() over (partition by l_partkey order by l_quantity desc, cast(l_orderkey as varchar), l_linenumber) as rn from lineitem) where rn = 1""")
 def q_contested_ownership(spark, folder):
     li = Tables(spark, folder).lineitem
-    order = [F.col("l_quantity").desc(), F.col("l_orderkey").cast("string"), F.col("l_linenumber")]
-    return versions.current_rows(li, ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    won = versions.replace_owned(li, line="l_partkey", confidence="l_quantity", owner="l_orderkey", ties=["l_linenumber"])
+    return won.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("""with ids as (select distinct o_orderkey as record, o_custkey as work from orders),

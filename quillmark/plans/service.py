@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillmark.functions import labels, text
-from quillmark.operators import draws, ledger, lookup, postings, reports, serving
+from quillmark.operators import draws, engines, ledger, lookup, pools, postings, reports, serving
 from quillmark.plans.registry import Tables, query
 from quillmark.session import shared_folder
 from quillmark.sources import datasets
@@ -219,11 +219,11 @@ def q_transcriptions(spark, folder):
     return found.select("page_id", "line_seq", "run_id", "text", "work_id", "set")
 
 
-@query("""select case when l_returnflag = 'A' then 'nc' when l_linenumber % 3 = 0 then 'nc' when l_linenumber % 3 = 1 then 'open' else 'none' end as deposit, case l_linenumber % 3 when 0 then 'ia+nc' when 1 then 'ia' else '(not recorded)' end as channel, count(*) as n from lineitem group by 1, 2""")
+@query("""select case when l_linenumber % 3 = 0 then 'nc' when l_returnflag <> 'A' then 'open' else 'none' end as deposit, case l_linenumber % 3 when 0 then 'ia+nc' when 1 then 'ia' else '(not recorded)' end as channel, count(*) as n from lineitem group by 1, 2""")
 def q_deposit_census(spark, folder):
     """Rows by the deposit that takes them and the channels they came through."""
     source = F.expr("case l_linenumber % 3 when 0 then 'piece=1;channel=ia+nc' when 1 then 'piece=2;channel=ia' else 'piece=3' end")
-    lines = Tables(spark, folder).lineitem.select(source.alias("source"), F.expr("case when l_returnflag = 'A' then 'NC' else 'open' end").alias("license_bucket"))
+    lines = Tables(spark, folder).lineitem.select(source.alias("source"), F.expr("case when l_returnflag = 'A' then 'nc' else 'open' end").alias("license_bucket"))
     return datasets.deposit_census(lines, {"ia": "open", "nc": "nc"})
 
 
@@ -503,3 +503,85 @@ def q_outside_band(spark, folder):
     return Tables(spark, folder).lineitem.groupBy(shown.alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+# --- pools and readings ---------------------------------------------------------------------------------------------------------
+
+
+@query("""with p as (select o_custkey as rec, o_orderkey as pos, o_orderkey % 8 as s, cast(o_orderkey % 5 as varchar) as v, 'p' || o_orderkey as piece from orders), r as (select rec, pos, s, v, case when pos % 2 = 0 then 'q' || rec else '' end as piece, case pos % 3 when 0 then 'ia' when 1 then 'gw' end as ch from p where rec % 3 <> 0 and pos % 4 > 1),
+f as (select * from (select *, row_number() over (partition by rec order by pos) as rn from r) where rn = 1), c as (select rec, string_agg(distinct ch, '+' order by ch) as ch from r group by 1),
+m as (select p.rec, p.s, p.v, coalesce(nullif(f.piece, ''), p.piece) as piece, c.ch, row_number() over (partition by p.rec order by p.pos) as rn from p join f on p.rec = f.rec and p.s = f.s and p.v = f.v join c on c.rec = p.rec),
+a as (select rec, s, v, piece, row_number() over (partition by rec order by pos) as rn from p where rec not in (select rec from r))
+select rec as record_id, s as series, v as volume, piece, ch as channel from m where rn = 1 union all select rec, s, v, piece, null from a where rn = 1""")
+def q_text_pieces(spark, folder):
+    """The piece of each record that its text came from."""
+    k = F.col("o_orderkey")
+    pieces = Tables(spark, folder).orders.select(F.col("o_custkey").alias("record_id"), k.alias("pos"), (k % 8).alias("series"), (k % 5).cast("string").alias("volume"), F.concat(F.lit("p"), k.cast("string")).alias("piece"))
+    given = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("q"), F.col("record_id").cast("string"))).otherwise("")
+    refs = pieces.where("record_id % 3 <> 0 and pos % 4 > 1").select("record_id", "pos", "series", "volume", given.alias("piece"), F.expr("case pos % 3 when 0 then 'ia' when 1 then 'gw' end").alias("channel"))
+    return pools.text_pieces(pieces, refs)
+
+
+@query("""with d as (select o_custkey as line_id, cast(o_orderdate as date) as dt, o_orderkey as cand, case when o_orderkey % 4 = 0 then 'both_rejected' else 'converged' end as r from orders),
+x as (select *, r = 'converged' as c, row_number() over (partition by line_id, r = 'converged' order by dt desc, cand) as rk, max(dt) over (partition by line_id, r = 'converged') as top, row_number() over (partition by line_id, dt, r = 'converged' order by cand) as ag from d)
+select action, count(*) as n from (select case when not c then case when ag = 1 then 'queue' else 'queued_already' end when rk > 1 then case when dt = top then 'duplicate_in_pack' else 'superseded_in_pack' end when line_id % 7 = 0 then 'no_machine_row' when line_id % 5 = 0 then 'already_imported' else 'insert' end as action from x) group by 1""")
+def q_decision_plan(spark, folder):
+    """What an import of decisions would do, by action."""
+    t = Tables(spark, folder)
+    made = t.orders.select(F.col("o_custkey").alias("line_id"), F.to_date("o_orderdate").alias("decided_at"), F.expr("case when o_orderkey % 4 = 0 then 'both_rejected' else 'converged' end").alias("retirement"), F.col("o_orderkey").alias("cand_id"), F.lit("t").alias("text"))
+    machine = made.where("line_id % 7 <> 0").select("line_id")
+    return pools.decision_plan(made, machine, made.where("line_id % 5 = 0").select("line_id", "decided_at")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select i.p_partkey as name, arg_min(j.p_partkey, struct_pack(a := abs(i.p_retailprice - j.p_retailprice), b := j.p_partkey)) as page_id, round(min(abs(i.p_retailprice - j.p_retailprice)), 6) as distance from part i join part j on i.p_size = j.p_size and i.p_brand = j.p_brand and i.p_partkey % 10 = 0 and j.p_partkey % 10 <> 0 group by 1 having min(abs(i.p_retailprice - j.p_retailprice)) <= 500""")
+def q_nearest_image(spark, folder):
+    """The page of an image's size that looks most like it."""
+    rows = Tables(spark, folder).part.select(F.col("p_size").alias("width"), F.col("p_brand").alias("height"), "p_partkey", F.col("p_retailprice").alias("thumb"))
+    images = rows.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "name")
+    pairs = pools.same_size(images, rows.where("p_partkey % 10 <> 0").withColumnRenamed("p_partkey", "page_id"))
+    return pools.nearest_image(pairs, "name", "page_id", F.abs(F.col("thumb") - F.col("page_thumb")), 500.0).withColumn("distance", F.round("distance", 6))
+
+
+@query("""with l as (select c_custkey as id, c_custkey % 260 + 1 as part, c_custkey % 12 as lo, c_custkey % 12 + c_custkey % 3 as hi, c_custkey % 4 = 0 as shared from customer),
+j as (select l.id, p.p_partkey, x.n from l join part p on p.p_partkey = l.part join (select range as n from range(1, 9)) x on x.n between l.lo and l.hi where l.lo > 0)
+select reason, count(*) as n from (select case when l.part not in (select p_partkey from part) then 'no_work' when not exists (select 1 from j where j.id = l.id) then 'no_canvas' when (select sum(n) from j where j.id = l.id and j.n > 4) is null then 'no_lines' when shared then 'shared' else 'placed' end as reason from l) group by 1""")
+def q_placed_letters(spark, folder):
+    """Letters by why they cannot be placed."""
+    t = Tables(spark, folder)
+    k = F.col("c_custkey")
+    span = F.when(k % 12 > 0, text.folio_span(F.concat((k % 12).cast("string"), F.lit("-"), (k % 12 + k % 3).cast("string"))))
+    letters = t.customer.select(k.alias("letter_id"), (k % 260 + 1).cast("string").alias("key"), span.alias("span"), (k % 4 == 0).alias("shared"))
+    works = t.part.select(F.col("p_partkey").cast("string").alias("key"), F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("work_id"))
+    pages = _pages(t)
+    lines = pages.where("seq >= 8").select("page_id", F.lit(3).alias("n_lines"))
+    return pools.placed_letters(letters, works, pages, lines).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 2 = 0 then o_orderstatus || 'x' when o_orderkey % 3 = 0 then 'read' end as machine_text, round(case when o_orderkey % 2 = 0 then 3.0::double / 2 when o_orderkey % 3 = 0 then 3.0::double / 4 end, 6) as ratio from orders""")
+def q_machine_text(spark, folder):
+    """The text that each line was aligned on, and the ratio of lengths."""
+    o = Tables(spark, folder).orders
+    ref = F.col("o_orderkey").alias("ref")
+    lines = o.select("o_orderkey", ref, F.when(F.col("o_orderkey") % 2 == 1, "r").alias("reader"), F.lit("abc").alias("text"))
+    stored = o.select(ref, F.concat("o_orderstatus", F.lit("x")).alias("text"))
+    read = o.where("o_orderkey % 3 = 0").select(ref, F.lit("r").alias("reader"), F.lit("read").alias("text"))
+    return pools.with_machine_text(lines, stored, read).select("o_orderkey", "machine_text", F.round("ratio", 6).alias("ratio"))
+
+
+@query("select lang, doc_id, (row_number() over (partition by lang order by doc_id) - 1) // 25 as piece from documents")
+def q_chunks(spark, folder):
+    """Documents of each language in runs of twenty-five."""
+    return pools.chunked(Tables(spark, folder).documents.select("lang", "doc_id"), ["lang"], "doc_id")
+
+
+@query("select p_brand, count(*) as pages, cast(sum(p_size * 10) as bigint) as input_tokens, count(*) * 500 as output_tokens, round(sum(p_size * 10) * 3.0 / 1e6 + count(*) * 500 * 15.0 / 1e6, 9) as cost from part group by 1")
+def q_read_plan(spark, folder):
+    """What reading pages would cost, without a call."""
+    made = engines.read_plan(Tables(spark, folder).part, ["p_brand"], input_tokens=F.col("p_size") * 10, output_tokens=500, input_price=3.0, output_price=15.0)
+    return made.withColumn("cost", F.round("cost", 9))
+
+
+@query("select lang, doc_id from (select lang, doc_id, sum(n_chars) over (order by doc_id) as upto from documents) where upto <= 100000")
+def q_within_budget(spark, folder):
+    """The first documents whose characters together stay within a budget."""
+    return engines.within_budget(Tables(spark, folder).documents.select("lang", "doc_id", "n_chars"), ["doc_id"], "n_chars", 100_000).select("lang", "doc_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmark.operators import sequences
 from quillmark.plans.registry import Tables, query
 from quillmark.streaming import operators as stream
 
@@ -31,14 +30,14 @@ def q_stream_sliding(spark, folder):
 @query("""with m as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '2 hours' then 0 else 1 end as b from events), s as (select *, sum(b) over (partition by user_id order by ts) as g from m)
 select user_id, epoch_us(min(ts)) as start, count(*) as n from s group by user_id, g""")
 def q_stream_session(spark, folder):
-    made = sequences.sessions(_events(spark, folder), ["user_id"], "ts", "2 hours")
+    made = stream.sessions(_events(spark, folder), "ts", "2 hours", ["user_id"])
     return made.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
 @query("select count(*) as n from (select distinct user_id, event_type, cast(ts as date) from events)")
 def q_stream_dedup(spark, folder):
     e = _events(spark, folder).withColumn("day", F.to_date("ts"))
-    return e.dropDuplicates(["user_id", "event_type", "day"]).agg(F.count(F.lit(1)).alias("n"))
+    return stream.once(e, ["user_id", "event_type", "day"], "ts", "1 day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

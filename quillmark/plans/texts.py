@@ -68,8 +68,8 @@ def q_roman(spark, folder):
 @query("""select p_partkey, row_number() over (order by p_size, p_partkey) as place from part""")
 def q_natural_sort(spark, folder):
     label = F.concat(F.lit("no "), F.col("p_size").cast("string"), F.lit("/"), F.col("p_partkey").cast("string"))
-    ranked = Tables(spark, folder).part.withColumn("k", text.natural_key(label))
-    return ranked.select("p_partkey", F.row_number().over(Window.orderBy("k")).cast("long").alias("place"))
+    ranked = Tables(spark, folder).part.select("p_partkey", text.natural_key(label).alias("k"))
+    return sequences.running(ranked, [], ["k"], name="place").select("p_partkey", "place")
 
 
 @query("""select o_orderkey, cast(o_orderkey % 8 + 1 as int) as series, cast(o_orderkey % 30 + 1 as varchar) as volume, cast(o_orderkey % 500 + 1 as varchar) || case when o_orderkey % 2 = 0 then 'b' else '' end as piece from orders""")
@@ -208,8 +208,8 @@ def q_agreement_matrix(spark, folder):
 @query()
 def q_bootstrap_ci(spark, folder):
     """Precision of each language with bootstrap bounds."""
-    rows = _judged(Tables(spark, folder)).select("lang", F.col("good").cast("double").alias("x"), F.lit(1.0).alias("y"))
-    return evaluation.bootstrap(rows, ["lang"], "x", "y", resamples=400, seed=1)
+    rows = _judged(Tables(spark, folder)).select("doc_id", "lang", F.col("good").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    return evaluation.bootstrap(rows, ["lang"], "x", "y", resamples=400, seed=1, key="doc_id")
 
 
 # --- search ------------------------------------------------------------------------------------------------------
@@ -268,12 +268,12 @@ def q_search_filters(spark, folder):
 _TERMS = ("the", "was", "for")
 
 
-def _bm25_sql():
-    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(_TERMS))
-    df = ", ".join(f"count_if(tf{i} > 0) as df{i}" for i in range(len(_TERMS)))
-    score = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i in range(len(_TERMS)))
-    any_ = " + ".join(f"tf{i}" for i in range(len(_TERMS)))
-    return f"with b as (select doc_id, len(w) as len, {tf} from {_W}), s as (select count(*) as n, avg(len) as mean, {df} from b) select doc_id, round({score}, 6) as score from b, s where {any_} > 0 order by score desc, doc_id limit 10"
+def _bm25_sql(terms=_TERMS, test=None, digits=6, offset=0):
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) as tf{i}" for i, t in enumerate(terms))
+    df = ", ".join(f"count_if(tf{i} > 0) as df{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i in range(len(terms)))
+    any_ = " + ".join(f"tf{i}" for i in range(len(terms)))
+    return f"with b as (select doc_id, w, len(w) as len, {tf} from {_W}), s as (select count(*) as n, avg(len) as mean, {df} from b) select doc_id, round({score}, {digits}) as score from b, s where {test or any_ + ' > 0'} order by score desc, doc_id limit 10 offset {offset}"
 
 
 @query(_bm25_sql())
@@ -288,7 +288,7 @@ def q_search_typo(spark, folder):
     return search.typo_tokens(vocabulary, "tionbl")
 
 
-@query()
+@query(_bm25_sql(("the", "of"), f"{_sql_has('the')} and {_sql_run('of the')} and not {_sql_run('was')}", 4, 10))
 def q_search_page(spark, folder):
     """The second page of a query's hits, ranked."""
     page, _ = search.search(_indexed(Tables(spark, folder)), "doc_id", "w", 'the "of the" -was', page=2, limit=10)
@@ -380,7 +380,9 @@ def q_ngram_counts(spark, folder):
     return decoding.ngram_counts(_indexed(Tables(spark, folder)).select("w"), "w", 2)
 
 
-@query()
+@query(f"""with w as (select {_WORDS} as w from documents), c as (select n, gram, count(*) as k from (
+select 1 as n, unnest(w) as gram from w union all select 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w) group by 1, 2)
+select n, gram, round(log10(k / sum(k) over (partition by n, case when n = 2 then split_part(gram, ' ', 1) else '' end)), 6) as log10p from c""")
 def q_ngram_probabilities(spark, folder):
     counts = decoding.ngram_counts(_indexed(Tables(spark, folder)).select("w"), "w", 2)
     return decoding.conditional(counts).select("n", "gram", F.round("log10p", 6).alias("log10p"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillmark.functions.catalog import deposit
 from quillmark.functions.text import channels, collapse
 from quillmark.operators.versions import current_rows, ranked
 from quillmark.sources.export import export, manifest
@@ -43,12 +44,9 @@ def transcriptions(tables: Mapping[str, DataFrame]) -> DataFrame:
     return current.join(pages, "page_id").join(works, "work_id").join(at, "run_id", "left")
 
 
-def deposit(source: Column, bucket: Column, terms: Mapping[str, str]) -> Column:
-    """open, nc or null of a row: nc if its bucket or one of its channels is; open if all of its channels are free; null if it has none or one is unknown."""
-    found = channels(source)
-    known = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv)) if terms else F.create_map().cast("map<string,string>")
-    kinds = F.transform(found, lambda c: F.try_element_at(known, c))
-    return F.when(F.lower(bucket) == "nc", "nc").when(F.exists(kinds, lambda k: k == "nc"), "nc").when((F.size(found) > 0) & F.forall(kinds, lambda k: k == "open"), "open")
+def deposit_of(source: Column, bucket: Column, terms: Mapping[str, str]) -> Column:
+    """The deposit that takes a row, from the channels in its provenance and its bucket."""
+    return deposit(channels(source), bucket, terms)
 
 
 def ground_truth(of: str, terms: Mapping[str, str]) -> Callable[[Mapping[str, DataFrame]], DataFrame]:
@@ -56,7 +54,7 @@ def ground_truth(of: str, terms: Mapping[str, str]) -> Callable[[Mapping[str, Da
 
     def rows(tables: Mapping[str, DataFrame]) -> DataFrame:
         lines = tables["gt_lines"]
-        return lines.where(deposit(F.col("source"), F.col("license_bucket"), terms).eqNullSafe(F.lit(of))).withColumn("text", collapse(F.coalesce("text", F.lit(""))))
+        return lines.where(deposit_of(F.col("source"), F.col("license_bucket"), terms).eqNullSafe(F.lit(of))).withColumn("text", collapse(F.coalesce("text", F.lit(""))))
 
     return rows
 
@@ -64,7 +62,7 @@ def ground_truth(of: str, terms: Mapping[str, str]) -> Callable[[Mapping[str, Da
 def deposit_census(lines: DataFrame, terms: Mapping[str, str]) -> DataFrame:
     """(deposit, channel, n) of all rows in one pass; deposit ``none`` where no deposit takes a row."""
     label = F.array_join(F.coalesce(channels(F.col("source")), F.array().cast("array<string>")), "+")
-    made = lines.select(F.coalesce(deposit(F.col("source"), F.col("license_bucket"), terms), F.lit("none")).alias("deposit"), F.when(label == "", "(not recorded)").otherwise(label).alias("channel"))
+    made = lines.select(F.coalesce(deposit_of(F.col("source"), F.col("license_bucket"), terms), F.lit("none")).alias("deposit"), F.when(label == "", "(not recorded)").otherwise(label).alias("channel"))
     return made.groupBy("deposit", "channel").agg(F.count(F.lit(1)).alias("n"))
 
 

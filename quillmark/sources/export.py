@@ -21,9 +21,25 @@ def export(table: DataFrame, path: str, *, fmt: str = "parquet", rows_per_file:
 
 
 def manifest(spark, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the files of an export."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of the files of an export, read in chunks where they lie, whatever their size."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", F.col("length").alias("bytes"))
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for place, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, inner = fs.FileSystem.from_uri(place if "://" in place else place.replace("file:/", "file:///", 1))
+                found = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while chunk := f.read(1 << 20):
+                        found.update(chunk)
+                yield pa.RecordBatch.from_pydict({"file": [place.rsplit("/", 1)[-1]], "bytes": pa.array([size], pa.int64()), "sha256": [found.hexdigest()]})
+
+    return listed.mapInArrow(digest, "file string, bytes long, sha256 string")
 
 
 def publish(table: DataFrame, path: str, view: str) -> DataFrame:
@@ -34,10 +50,13 @@ def publish(table: DataFrame, path: str, view: str) -> DataFrame:
     return fresh
 
 
-def jsonl_pack(header: DataFrame, rows: DataFrame, path: str) -> None:
-    """One header row and the rows as JSON lines in one file; for packs of a reviewed size."""
-    both = header.select(F.lit(0).alias("_o"), F.to_json(F.struct(*header.columns)).alias("value")).unionAll(rows.select(F.lit(1).alias("_o"), F.to_json(F.struct(*rows.columns)).alias("value")))
-    both.orderBy("_o", "value").select("value").coalesce(1).write.text(path)
+def jsonl_pack(header: DataFrame, rows: DataFrame, path: str, *, order: str | None = None) -> None:
+    """One header row and the rows as JSON lines in one file, by ``order`` or as they come; for packs of a reviewed size."""
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    kept = [c for c in rows.columns if c != order] if order else rows.columns
+    first = header.select(F.lit(0).alias("_o"), F.lit(None).cast(rows.select(place.alias("p")).schema[0].dataType).alias("_p"), F.to_json(F.struct(*header.columns)).alias("value"))
+    both = first.unionAll(rows.select(F.lit(1).alias("_o"), place.alias("_p"), F.to_json(F.struct(*kept)).alias("value")))
+    both.coalesce(1).sortWithinPartitions("_o", "_p").select("value").write.text(path)
 
 
 def tally(table: DataFrame, columns: list[str]) -> DataFrame:

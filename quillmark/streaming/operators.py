@@ -28,29 +28,64 @@ def sessions(events: DataFrame, at: str, gap: str, keys: Sequence[str], *, late:
 
 
 def once(events: DataFrame, keys: Sequence[str], at: str, late: str) -> DataFrame:
-    """The first event of each key within the watermark."""
+    """The first event of each key, of a stream within the watermark."""
+    if not events.isStreaming:
+        return events.dropDuplicates(list(keys))
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def snapshot_writer(path: str, keys: Sequence[str], order):
-    """A foreachBatch function that keeps the current row of each key in versions under ``path``.
+SNAPSHOT_BUCKETS = 64
 
-    Late corrections may outrank earlier rows, so a batch is merged, not appended; a
-    batch that is repeated after a failure writes the same version again.
+
+def _newest(spark: SparkSession, path: str, below: int) -> dict[int, int]:
+    """The newest version under ``below`` of each bucket of a snapshot; its folders are listed, no rows are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, int] = {}
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version-*/_bucket=*")) or []:
+        place = status.getPath()
+        version, bucket = int(place.getParent().getName().removeprefix("version-")), int(place.getName().removeprefix("_bucket="))
+        # a version without its mark is one whose writing did not end
+        if version < below and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), "_SUCCESS")):
+            found[bucket] = max(version, found.get(bucket, -1))
+    return found
+
+
+def snapshot(spark: SparkSession, path: str, below: int = 1 << 62) -> DataFrame:
+    """The current rows of a snapshot: the newest version of each bucket that a batch before ``below`` wrote."""
+    found = _newest(spark, path, below)
+    if not found:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(*(f"{path}/version-{v}/_bucket={b}" for b, v in found.items()))
+
+
+def snapshot_writer(path: str, keys: Sequence[str], order, *, buckets: int = SNAPSHOT_BUCKETS):
+    """A foreachBatch function that keeps the current row of each key under ``path``; ``snapshot`` reads it.
+
+    Late corrections may outrank earlier rows, so a batch is merged, not appended. Keys are dealt
+    to buckets, and a batch rewrites only those that it has rows of, from the newest version
+    of each; a batch that is repeated after a failure writes the same version again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch if number == 0 else spark.read.parquet(f"{path}/v={number - 1}").unionByName(batch)
-        current_rows(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # ``buckets`` at most
+        known = _newest(spark, path, number)
+        old = [f"{path}/version-{known[b]}/_bucket={b}" for b in touched if b in known]
+        rows = spark.read.parquet(*old).unionByName(batch) if old else batch
+        if touched:
+            current_rows(rows, keys, order).withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/version-{number}")
 
     return write
 
 
-def token_bucket(events: DataFrame, key: str, at: str, *, rate: float, burst: float, idle: str = "10 minutes") -> DataFrame:
-    """(key, at, allowed): a bucket a key that refills by ``rate`` a second up to ``burst``; idle keys are forgotten.
+def token_bucket(events: DataFrame, key: str, at: str, *, rate: float, burst: float, late: str = "10 minutes") -> DataFrame:
+    """(key, at, allowed): a bucket a key that refills by ``rate`` a second up to ``burst``.
 
-    For streams, state is kept by key with a processing-time limit; for tables, ``token_bucket_batch`` gives the same answers.
+    For streams; for tables ``token_bucket_batch`` gives the same answers if no event is later than
+    the watermark and events of a key come in order. A key is forgotten when the
+    watermark is so far past its last event that the bucket is full again, which changes no answer.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -62,12 +97,14 @@ def token_bucket(events: DataFrame, key: str, at: str, *, rate: float, burst: fl
             return
         level, last = state.get if state.exists else (burst, None)
         for pdf in batches:
-            pdf, level, last = _spend(pdf.sort_values(at), at, level, last, rate, burst)
+            pdf, level, last = _spend(pdf.sort_values(at, kind="stable"), at, level, last, rate, burst)
             yield pd.DataFrame({key: [name[0]] * len(pdf), at: pdf[at], "allowed": pdf["allowed"]})
-        state.update((level, last))
-        state.setTimeoutDuration(idle)
+        if last is not None:
+            state.update((level, last))
+            state.setTimeoutTimestamp(max(int((last + burst / rate) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{at}` timestamp, allowed boolean", "level double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.withWatermark(at, late)
+    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{at}` timestamp, allowed boolean", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _spend(pdf: pd.DataFrame, at: str, level: float, last: float | None, rate: float, burst: float):

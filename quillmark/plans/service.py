@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillmark.functions import labels, text
 from quillmark.operators import draws, engines, ledger, lookup, pools, postings, reports, serving
-from quillmark.plans.registry import Tables, query
+from quillmark.plans.registry import Tables, query, written_index
 from quillmark.session import shared_folder
 from quillmark.sources import datasets
 
@@ -17,19 +15,6 @@ _SOURCE_WORDS = "regexp_extract_all(lower(source), '[\\p{L}]+')"
 
 # --- the written index -------------------------------------------------------------------------------------------------
 
-_BUILT: dict[tuple[str, str], postings.Index] = {}
-
-
-def _index(spark, folder) -> postings.Index:
-    """The index of a folder's documents, written once a session."""
-    at = (spark.sparkContext.applicationId, folder)
-    if at not in _BUILT:
-        d = Tables(spark, folder).documents
-        fields = {"text": (text.words(F.col("text")), 1.0), "source": (text.words(F.col("source")), 3.0)}
-        _BUILT[at] = postings.build(d, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", key="doc_id", fields=fields, keep=["lang", "n_chars"])
-    return _BUILT[at]
-
-
 def _starts(words, w):
     return f"len(list_filter({words}, lambda x: starts_with(x, '{w}')))" if len(w) >= postings.LEAST_PREFIX else f"len(list_filter({words}, lambda x: x = '{w}'))"
 
@@ -52,7 +37,7 @@ z as (select count(*) as n, avg(len) as mean, {n} from b) select doc_id, round({
 
 
 def _hits(spark, folder, raw, **how):
-    return postings.scored(_index(spark, folder), spark, raw, **how).withColumn("score", F.round("score", 6))
+    return postings.scored(written_index(spark, folder), spark, raw, **how).withColumn("score", F.round("score", 6))
 
 
 @query(_ranked_sql(words=("the", "ble")))
@@ -76,12 +61,12 @@ def q_index_fields(spark, folder):
 @query(f"select * from ({_ranked_sql(words=('the',))}) order by score desc, doc_id limit 10 offset 10")
 def q_index_page(spark, folder):
     """The second page of ten hits."""
-    return postings.search(_index(spark, folder), spark, "the", page=2, limit=10)[0]
+    return postings.search(written_index(spark, folder), spark, "the", page=2, limit=10)[0]
 
 
 @query(f"select token, count(distinct doc_id) as documents from (select doc_id, unnest({_WORDS}) as token from documents union all select doc_id, unnest({_SOURCE_WORDS}) from documents) where starts_with(token, 'tio') group by 1")
 def q_index_vocabulary(spark, folder):
-    return postings.tokens_like(_index(spark, folder), spark, "tio")
+    return postings.tokens_like(written_index(spark, folder), spark, "tio")
 
 
 # --- look-up: parts stand for works, lines for pages, orders for records ----------------------------------------------------

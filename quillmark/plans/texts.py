@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import geometry, text, unicode
-from quillmark.operators import alignment, decoding, evaluation, links, search, sequences, versions
-from quillmark.plans.registry import Tables, query
+from quillmark.operators import alignment, decoding, evaluation, links, postings, search, sequences, versions
+from quillmark.plans.registry import Tables, query, written_index
 from quillmark.sources import export, readers
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}]+')"
@@ -230,8 +230,8 @@ def _sql_run(run):
     return f"contains(' ' || array_to_string(w, ' ') || ' ', ' {run} ')"
 
 
-def _found(spark, folder, raw, any_word=False):
-    return _indexed(Tables(spark, folder)).where(search.matches(F.col("w"), search.parse(raw), any_word=any_word)).select("doc_id")
+def _found(spark, folder, raw, **how):
+    return postings.scored(written_index(spark, folder), spark, raw, fields=["text"], **how).select("doc_id")
 
 
 @query(f"select doc_id from {_W} where {_sql_has('the')} and {_sql_has('ble')}")
@@ -261,8 +261,11 @@ def q_search_prefix(spark, folder):
 
 @query(f"select doc_id, n_chars from {_W} where {_sql_has('the')} and lang = 'en' and n_chars >= 2000")
 def q_search_filters(spark, folder):
-    hits = search.filtered(_indexed(Tables(spark, folder)), {"lang": "en", "source": "nowhere"}, {"n_chars": 2000}, {"source": ("src1",)})
-    return hits.where(search.matches(F.col("w"), search.parse("the"))).select("doc_id", "n_chars")
+    index = written_index(spark, folder)
+    # a value outside its vocabulary is dropped, not an error
+    equal = search.known({"lang": "en", "source": "nowhere"}, {"source": ("src1",)})
+    hits = postings.scored(index, spark, "the", fields=["text"], equal=equal, least={"n_chars": 2000})
+    return hits.join(index.documents(spark).select(F.col("key").alias("doc_id"), "n_chars"), "doc_id").select("doc_id", "n_chars")
 
 
 _TERMS = ("the", "was", "for")
@@ -278,21 +281,23 @@ def _bm25_sql(terms=_TERMS, test=None, digits=6, offset=0):
 
 @query(_bm25_sql())
 def q_bm25_topk(spark, folder):
-    scored = search.bm25(_indexed(Tables(spark, folder)), "doc_id", {"text": (F.col("w"), 1.0)}, _TERMS)
+    scored = postings.bm25(written_index(spark, folder), spark, _TERMS, "text")
     return scored.withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "doc_id").limit(10)
 
 
 @query(f"""select distinct token from (select unnest({_WORDS}) as token from documents) where length(token) between 5 and 7 and regexp_full_match(token, '[a-z]+') and levenshtein(token, 'tionbl') <= 1""")
 def q_search_typo(spark, folder):
-    vocabulary = _indexed(Tables(spark, folder)).select(F.explode("w").alias("token")).distinct().where(F.rlike("token", F.lit("^[a-z]+$")))
+    vocabulary = written_index(spark, folder).terms(spark).where((F.col("field") == "text") & F.rlike("token", F.lit("^[a-z]+$"))).select("token")
     return search.typo_tokens(vocabulary, "tionbl")
 
 
 @query(_bm25_sql(("the", "of"), f"{_sql_has('the')} and {_sql_run('of the')} and not {_sql_run('was')}", 4, 10))
 def q_search_page(spark, folder):
     """The second page of a query's hits, ranked."""
-    page, _ = search.search(_indexed(Tables(spark, folder)), "doc_id", "w", 'the "of the" -was', page=2, limit=10)
-    return page.select("doc_id", "score")
+    hits = _found(spark, folder, 'the "of the" -was')
+    ranked = hits.join(postings.bm25(written_index(spark, folder), spark, ("the", "of"), "text"), "doc_id", "left")
+    limit, offset = search.page_bounds(2, 10)
+    return ranked.select("doc_id", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score")).orderBy(F.col("score").desc(), "doc_id").offset(offset).limit(limit)
 
 
 @query()

@@ -11,7 +11,8 @@ from quillmark.functions.text import edition_reference, folio, folio_span, signa
 from quillmark.operators.versions import current_rows
 
 MOST_TARGETS = 100
-TARGET = ("kind", "work_id", "page_id", "rank")
+#: What the id of a work or page looks like.
+ID = r"[A-Za-z]?\d+(:\d+)?"
 
 
 def reference_key(series: Column, volume: Column, piece: Column) -> Column:
@@ -53,8 +54,9 @@ def by_shelfmark(query: str, shelfmarks: DataFrame, pages: DataFrame) -> DataFra
     both = exact.unionAll(under).distinct()
     nearest = both.agg(F.min("far").alias("far"))  # one row
     works = both.join(F.broadcast(nearest), "far")
-    labelled = pages.select("work_id", "page_id", "seq", folio(F.col("label")).alias("ref")).where("ref is not null")
-    inside = labelled.join(works.where("span is not null"), "work_id").where(span_includes(F.col("span"), F.col("ref")))
+    # labels are read of the pages of these works alone
+    near = pages.select("work_id", "page_id", "seq", "label").join(works.where("span is not null"), "work_id")
+    inside = near.withColumn("ref", folio(F.col("label"))).where(F.col("ref").isNotNull() & span_includes(F.col("span"), F.col("ref")))
     first = current_rows(inside, ["work_id"], [F.col("seq")]).select(F.lit("page").alias("kind"), "work_id", "page_id")
     rest = works.join(first.select("work_id"), "work_id", "left_anti").select(F.lit("work").alias("kind"), "work_id", F.lit(None).cast("string").alias("page_id"))
     return first.unionByName(rest)
@@ -86,8 +88,8 @@ def lookup(query: str, *, works: DataFrame, pages: DataFrame, shelfmarks: DataFr
     if spark.range(1).select(edition_reference(F.lit(text)).isNotNull()).first()[0]:
         found = by_reference(text, editions, links, placed)
     else:
-        found = by_id(text, works, pages)
-        if found.isEmpty():
+        found = by_id(text, works, pages) if re.fullmatch(ID, text) else None
+        if found is None or found.isEmpty():
             # families as they are written; fixed values
             spelled = re.sub(r"(?i)^(lh|lbr|lk|marg)\b", lambda m: {"lh": "LH", "lbr": "LBr", "lk": "LK", "marg": "Marg"}[m[1].lower()], text)
             found = by_shelfmark(spelled, shelfmarks, pages)

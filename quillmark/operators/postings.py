@@ -25,6 +25,17 @@ def cell_of(token: Column) -> Column:
     return F.pmod(F.crc32(F.substring(token, 1, LEAST_PREFIX)), F.lit(CELLS)).cast("int")
 
 
+_OPEN: dict[tuple[str, str], DataFrame] = {}
+
+
+def _open(spark: SparkSession, path: str) -> DataFrame:
+    """A written table, its files listed once a session; an index never changes."""
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _OPEN:
+        _OPEN[at] = spark.read.parquet(path)
+    return _OPEN[at]
+
+
 @dataclass(frozen=True)
 class Index:
     """The paths of an index, its key and the weights of its fields."""
@@ -34,18 +45,18 @@ class Index:
     weights: Mapping[str, float]
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/postings")
+        return _open(spark, f"{self.path}/postings")
 
     def documents(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/documents")
+        return _open(spark, f"{self.path}/documents")
 
     def meta(self, spark: SparkSession) -> DataFrame:
         """(documents, a mean length of each field): one row."""
-        return spark.read.parquet(f"{self.path}/meta")
+        return _open(spark, f"{self.path}/meta")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(field, token, documents): the vocabulary."""
-        return spark.read.parquet(f"{self.path}/terms")
+        return _open(spark, f"{self.path}/terms")
 
     def length(self, fields: Sequence[str]) -> Column:
         return sum((F.col(f"len_{f}") for f in fields), F.lit(0))

@@ -80,7 +80,7 @@ class _Hocr(HTMLParser):
     """Pages and lines of hOCR as they come."""
 
     #: Classes of lines; fixed values of the format.
-    LINES = ("ocr_line", "ocr_caption", "ocr_header", "ocr_textfloat", "ocrx_line")
+    LINES = ("ocr_line", "ocr_header", "ocr_textfloat", "ocr_caption")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)

@@ -1,24 +1,16 @@
-"""Ids of a byte-level BPE tokenizer file, with a bounded cache of words.
+"""Ids of a byte-level BPE tokenizer file.
 
-The vocabulary, the pattern that splits text and the ids are the file's. Text is
-cut at spaces, where the pattern always ends a piece, and each word's ids are
-worked out once and kept, so the cost a word is a look-up.
+The vocabulary, the pattern that splits text and the ids are the file's. A cache of words was
+tried and costs more than the merges it saves.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import re
 
 import numpy as np
 
-#: Words kept by a worker at most; then it begins anew.
-WORDS_KEPT = 200_000
-
-#: White space before a space that nothing but white space follows: only there may a piece span a cut.
-_SPANS = re.compile(r"\s (?!\S)")
-
 
 def byte_of_char() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: itself if it prints in Latin-1, else the next from 256 on."""
@@ -42,21 +34,13 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class Encoder:
     """Ids of whole texts; strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, pattern: str, words_kept: int = WORDS_KEPT):
+    def __init__(self, path: str, pattern: str):
         import tiktoken
 
         ranks = ranks_of(path)
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._encode, self._bytes = own.encode_ordinary, own.decode_single_token_bytes
-        self._kept, encode, kind = words_kept, self._encode, self.kind
-
-        class Words(dict):
-            def __missing__(self, word):
-                ids = self[word] = np.array(encode(" " + word), kind).tobytes()
-                return ids
-
-        self._words = Words()
 
     def whole(self, text: str) -> list[int]:
         return self._encode(text)
@@ -67,9 +51,4 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of ``kind``."""
-        if len(self._words) > self._kept:
-            self._words.clear()
-        if _SPANS.search(text):
-            return np.array(self._encode(text), self.kind).tobytes()
-        first, *words = text.split(" ")
-        return np.array(self._encode(first), self.kind).tobytes() + b"".join(map(self._words.__getitem__, words))
+        return np.array(self._encode(text), self.kind).tobytes()

@@ -20,7 +20,7 @@ def reference():
 
 
 def test_ids_are_the_tokenizers(reference, prose):
-    encoder = Encoder(PATH, PATTERN, words_kept=50)
+    encoder = Encoder(PATH, PATTERN)
     for text in [*ODD, prose(1, 300), prose(2, 300).replace(" ", "  ", 9), "Wörter&&& und%%% Zahlen 123"]:
         ids = list(struct.unpack(f"<{len(encoder.packed(text)) // 2}H", encoder.packed(text)))
         assert ids == reference(text) == encoder.whole(text)

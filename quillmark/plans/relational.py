@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import catalog
 from quillmark.operators import evaluation, links, sampling, sequences, versions
 from quillmark.plans.registry import Tables, query
 from quillmark.session import shared_folder
@@ -353,7 +354,7 @@ def q_latest_decisions(spark, folder):
 select case when o_orderkey % 5 = 0 then [] when o_orderkey % 3 = 0 then ['a','x'] else ['a'] end as ch from orders) group by 1""")
 def q_deposit_routing(spark, folder):
     ch = F.expr("case when o_orderkey % 5 = 0 then array() when o_orderkey % 3 = 0 then array('a','x') else array('a') end")
-    kind = F.when(F.array_contains("ch", "x"), "nc").when(F.size("ch") > 0, "open").otherwise("none")
+    kind = F.coalesce(catalog.deposit(F.col("ch"), F.when(F.size("ch") > 0, "open"), {"a": "open", "x": "nc"}), F.lit("none"))
     return Tables(spark, folder).orders.select(ch.alias("ch")).groupBy(kind.alias("deposit")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -40,7 +40,11 @@ def q_stream_dedup(spark, folder):
     return stream.once(e, ["user_id", "event_type", "day"], "ts", "1 day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""with e as (select user_id, list(struct_pack(level := 0.0::double, at := epoch_us(ts) / 1e6, n := 0::bigint) order by ts) as l from events group by 1),
+r as (select user_id, len(l) as n, list_reduce(list_prepend(struct_pack(level := 3.0::double, at := l[1].at, n := 0::bigint), l), lambda s, x: struct_pack(
+  level := least(3.0, s.level + (x.at - s.at) * (1.0::double / 3600)) - case when least(3.0, s.level + (x.at - s.at) * (1.0::double / 3600)) >= 1 then 1 else 0 end, at := x.at,
+  n := s.n + case when least(3.0, s.level + (x.at - s.at) * (1.0::double / 3600)) >= 1 then 1 else 0 end)) as f from e)
+select user_id, f.n as allowed, n from r""")
 def q_token_bucket(spark, folder):
     """Events allowed by a bucket a user: one token an hour, three at most."""
     made = stream.token_bucket_batch(_events(spark, folder), "user_id", "ts", rate=1 / 3600, burst=3.0)

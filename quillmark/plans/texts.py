@@ -106,7 +106,9 @@ def q_sha_ids(spark, folder):
     return d.select("doc_id", text.sha_id("c-", 12, F.col("doc_id").cast("string"), F.col("source"), F.col("text")).alias("cand_id"), text.page_id(F.col("source"), F.col("doc_id")).alias("page_id"))
 
 
-@query()
+@query("""with t as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+k as (select list_transform(string_split(source || ':' || doc_id, ''), lambda x: ascii(x)::bigint) as bytes from documents)
+select cast(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 4 as int) as shard, count(*) as n from k, t group by 1""")
 def q_crc_shards(spark, folder):
     """Documents by shard of four, by CRC-32 of their source and id."""
     key = F.concat_ws(":", "source", F.col("doc_id").cast("string"))
@@ -308,8 +310,8 @@ def q_snippet(spark, folder):
 
 @query(f"select token, count(*) as docs, cast(sum(tf) as bigint) as tf from (select token, doc_id, count(*) as tf from (select doc_id, unnest({_WORDS}) as token from documents) group by 1, 2) group by 1")
 def q_inverted_index(spark, folder):
-    made = search.postings(_indexed(Tables(spark, folder)), "doc_id", F.col("w"))
-    return made.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf"))
+    rows = written_index(spark, folder).postings(spark).where("field = 'text'")
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("positions")).alias("tf"))
 
 
 # --- pages, json -------------------------------------------------------------------------------------------------
@@ -326,9 +328,13 @@ def q_html_titles(spark, folder):
     return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query()
+@query("""with l as (select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) as l from pages)
+select page_id, cast(i as int) as row, trim(replace(l[i], '&amp;', '&')) as cells from (select page_id, l, unnest(range(1, len(l) + 1)) as i from l)""")
 def q_html_tables(spark, folder):
-    return readers.html_tables(Tables(spark, folder).pages)
+    """Rows of tables, which the pages' lists are made into, as they have none."""
+    listed = F.replace(F.replace("html", F.lit("<li>"), F.lit("<tr><td>")), F.lit("</li>"), F.lit("</td></tr>"))
+    rows = readers.html_tables(Tables(spark, folder).pages.select("page_id", listed.alias("html")))
+    return rows.select("page_id", "row", F.array_join("cells", "|").alias("cells"))
 
 
 @query("select cast(json_extract(props, '$.k') as bigint) as k, count(*) as n from events group by 1")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps at most.
-WORDS_KEPT = 150_000
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -19,21 +17,14 @@ def _spread(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of ``width``-word shingles; A-Z are lower-cased, words are runs without white space of ASCII."""
 
-    def __init__(self, width: int, words_kept: int = WORDS_KEPT):
-        class Words(dict):
-            def __missing__(self, word):
-                if len(self) > words_kept:
-                    self.clear()
-                h = self[word] = xxhash.xxh64_digest(word)
-                return h
-
-        self.width, self._words = width, Words()
+    def __init__(self, width: int):
+        self.width = width
 
     def words(self, text: str) -> np.ndarray:
         """A hash for each word, in order."""
         # bytes.lower and bytes.split know ASCII only: A-Z, and space, tab, LF, VT, FF, CR
         found = text.encode("utf-8", "surrogatepass").lower().split()
-        return np.frombuffer(b"".join(map(self._words.__getitem__, found)), np.uint64)
+        return np.frombuffer(b"".join(map(xxhash.xxh64_digest, found)), np.uint64)
 
     def set_of(self, text: str | None) -> np.ndarray:
         """Distinct shingles' hashes, ascending; of fewer words the whole sequence is one; none without words."""

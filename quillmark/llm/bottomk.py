@@ -173,7 +173,7 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
     a key follow each other by their texts' hashes; rows with null keys come after all
     others, in that order too. Empty tables give no rows. Other columns are ignored.
     """
-    dealt = with_next(docs, key=key, text=text, buckets=buckets)
+    dealt = with_next(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), key="key", buckets=buckets)
 
     def run(batches):
         import pyarrow as pa
@@ -205,4 +205,4 @@ def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str =
         values += [to_text(mine), to_text(theirs), resemblance(mine, theirs, k), resemblance(mine, its, k), containment(mine, theirs, k), distinct(mine, k)]
         return dict(zip([key, *(f.split()[0] for f in OUT.split(", "))], values, strict=True))
 
-    return dealt.select(key, "text", "copied", "bucket").mapInArrow(run, f"`{key}` long, {OUT}")
+    return dealt.select("key", "text", "copied", "bucket").mapInArrow(run, f"`{key}` long, {OUT}")

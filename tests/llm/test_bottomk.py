@@ -72,3 +72,8 @@ def test_repeats_null_keys_one_row_and_none(spark):
     assert B.fingerprint_with_edits(docs.where("doc_id = 2")).first().edited_text == "bb"
     assert B.fingerprint_with_edits(docs.limit(0)).count() == 0
     assert isinstance(B.sketch("x"), np.ndarray)
+
+
+def test_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "aaaa", "x"), (2, "bb", "y")], "bucket long, key string, text string")
+    assert sorted((r.bucket, r.edited_text) for r in B.fingerprint_with_edits(docs, key="bucket", text="key").collect()) == [(1, "aabb"), (2, "ba")]

@@ -61,7 +61,8 @@ def heading(text: Column) -> Column:
 def convolute(key: Column) -> Column:
     """The shelfmark key of the convolute that a letter's number ("16.2", "I.6.1") belongs to; null for another shape."""
     text = F.trim(key)
-    princes, plain = r"^I\.(\d+)(?:\..*)?$", r"^(\d+)(?:\..*)?$"
+    # fixed values: numbers of letters with princes, and of others
+    princes, plain = r"^[IVX]+\.(\d+[a-z]?)(?:\.\d+[a-z]?)?$", r"^(\d+[a-z]?)(?:\.\d+[a-z]?)?$"
     raw = F.when(F.rlike(text, F.lit(princes)), F.concat(F.lit("LBr. F "), F.regexp_extract(text, princes, 1))).when(F.rlike(text, F.lit(plain)), F.concat(F.lit("LBr. "), F.regexp_extract(text, plain, 1)))
     return F.when(raw.isNotNull(), signature_key(raw))
 
@@ -357,25 +358,21 @@ def head_pieces(text: str) -> list[str]:
     found = _HEAD.search(text)
     if not found:
         return []
-    tokens = _NUMBER.findall(found[1])
-    if len(tokens) > 1 and text[found.end() :].lstrip()[:1].isalpha() and not re.search(r"\d", tokens[-1]):
-        tokens.pop()
-    numbers = [t.translate(str.maketrans(*_DIGIT_LOOKS)) for t in tokens]
-    if len(numbers) > 1 and len(set(numbers)) == 1 and len(numbers[0]) == 1:
-        numbers = ["".join(numbers)]
-    return [n.lstrip("0") or "0" for n in numbers]
+    listed = found[1]
+    if re.match(r"\s*[^\W\d_]", text[found.end() :]):  # a title goes on, so a last numeral of letters is its own
+        listed = re.sub(r"(?<=[\dIil])[\s.,]+[Iil]{1,3}[\s.,]*$", "", listed)
+    digits = listed.translate(str.maketrans(*_DIGIT_LOOKS))
+    if cut := re.fullmatch(r"\s*(\d)(?:[\s.,]+\1)+[\s.,]*", digits):
+        digits = cut[1] * len(re.findall(r"\d", digits))
+    return [str(int(n)) for n in re.findall(r"\d{1,3}", digits)]
 
 
 def written_names(cell: str | None) -> list[str]:
     """The names of a cell as they stand, doubts kept: a mark after a link text belongs to the name before it."""
-    names: list[str] = []
-    for piece in re.split(_TAGS, cell or ""):
-        name = re.sub(r",(?=\S)", ", ", " ".join(piece.split()))
-        if name in ("?", "(?)") and names and not names[-1].endswith("?"):
-            names[-1] += " ?"
-        elif name:
-            names.append(name)
-    return names
+    # the mark is put before the link texts that it follows
+    marked = re.sub(rf"(?<!\?)({_TAGS})\s*(?:\(\?\)|\?)(?={_TAGS}|\s*$)", r" ?\1", cell or "")
+    spaced = (re.sub(r",(?=\S)", ", ", " ".join(name.split())) for name in re.split(_TAGS, marked))
+    return [name for name in spaced if name]
 
 
 def model_char(char: str) -> str | None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,24 +16,20 @@ from quillmark.operators.sequences import running
 
 def gold_counts(rows: int, truths: int, wrong: int, gold_rate: float, wrong_share: float) -> tuple[int, int]:
     """(truths, wrong ones) to mark as gold: as many as the shares and the supply allow, as many wrong ones as they may."""
-    for n in range(min(math.floor(gold_rate * rows + 1e-9), truths + wrong), 0, -1):
-        bad = min(wrong, math.floor(wrong_share * n + 1e-9))
-        if n - bad <= truths:
-            return n - bad, bad
-    return 0, 0
+    among = lambda share, n: math.floor(share * n + 1e-9)
+    bad = lambda n: min(wrong, among(wrong_share, n))
+    most = max(n for n in range(among(gold_rate, rows) + 1) if n <= truths + bad(n))
+    return most - bad(most), bad(most)
 
 
 def minority_quotas(quotas: Mapping[str, int], own: Mapping[str, int], sizes: Mapping[str, int], target: int) -> dict[str, int]:
     """Of each stratum's quota, how many are of the minority: its share rounded up, then one more where most room is left until ``target``."""
-    room = {s: min(q, own.get(s, 0)) for s, q in quotas.items()}
-    taken = {s: min(room[s], -(-q * own.get(s, 0) // sizes[s])) if sizes[s] else 0 for s, q in quotas.items()}
-    order = list(quotas)
-    while sum(taken.values()) < target:
-        best = max(order, key=lambda s: (room[s] - taken[s], -order.index(s)), default=None)
-        if best is None or room[best] == taken[best]:
-            break
-        taken[best] += 1
-    return taken
+    most = {s: min(q, own.get(s, 0)) for s, q in quotas.items()}
+    share = {s: min(most[s], math.ceil(q * own.get(s, 0) / sizes[s])) if sizes[s] else 0 for s, q in quotas.items()}
+    # a place is worth the room that its stratum has before it is taken
+    places = sorted((-(room + 1), i, s) for i, s in enumerate(quotas) for room in range(most[s] - share[s]))
+    more = Counter(s for *_, s in places[: max(0, target - sum(share.values()))])
+    return {s: share[s] + more[s] for s in quotas}
 
 
 def by_quota(rows: DataFrame, stratum: str, key: str, quotas: Mapping[str, int], *, seed: int | str) -> DataFrame:

@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, *, key: str, text: str, width: int) -> DataFrame
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; written."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches):
         import pyarrow as pa
@@ -92,15 +92,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
-    return stash(joined.mapInArrow(run, "a long, b long").distinct(), "near-links")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _relabel(labels: DataFrame, links: DataFrame, block: int) -> DataFrame:
+def _relabel(labels: DataFrame, links: DataFrame, block: int, most_bytes: int) -> DataFrame:
     """``labels`` (node, comp) after its components are joined by ``links`` (a, b; nodes)."""
     mapped = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    merged = components(mapped.select(F.col("ca").alias("a"), F.col("cb").alias("b")), block=block)
+    merged = components(mapped.select(F.col("ca").alias("a"), F.col("cb").alias("b")), block=block, most_bytes=most_bytes)
     moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left")
-    return stash(moved.select("node", F.coalesce("_to", "comp").alias("comp")), "near-labels")
+    return stash(moved.select("node", F.coalesce("_to", "comp").alias("comp")), "near-labels", most_bytes)
 
 
 def _shares(pairs: DataFrame, least: float) -> DataFrame:
@@ -224,38 +224,39 @@ def _links(width: int, percent: int, least: float):
     return run
 
 
-def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, block_rows: int, run_rows: int, edge_block: int, broadcast_ids: int) -> DataFrame:
-    """(id, text_hash, n_shingles, component_id, kept) for each row of ``docs``; see ``near_groups``."""
+def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, block_rows: int, run_rows: int, edge_block: int, broadcast_ids: int) -> tuple[DataFrame, int]:
+    """((id, text_hash, n_shingles, component_id, kept) for each row of ``docs``, their number); see ``near_groups``."""
     rows = stash(signatures(docs, key=key, text=text, width=width), "near-rows")
+    n_rows, two_numbers = rows.count(), 16
     # equal sets have equal signatures, so any row's stands for the class
     classes = rows.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("sig"))
-    classes = stash(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep.id", "rep.text_hash", "n", "sig"), "near-classes")
+    classes = stash(classes.select(F.monotonically_increasing_id().alias("node"), "set_hash", "rep.id", "rep.text_hash", "n", "sig"), "near-classes", n_rows * 4 * ROWS * BANDS)
 
     width_bytes = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring("sig", j * width_bytes + 1, F.lit(width_bytes))))
     banded = classes.select("node", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = stash(banded.join(shared, ["band", "bucket"]), "near-buckets")
+    buckets = stash(banded.join(shared, ["band", "bucket"]), "near-buckets", n_rows * BANDS * 2 * two_numbers)
 
-    nodes = buckets.select("node").distinct()
-    small = nodes.limit(broadcast_ids + 1).count() <= broadcast_ids
+    nodes = stash(buckets.select("node").distinct(), "near-nodes", n_rows * two_numbers)
+    small = nodes.count() <= broadcast_ids
     bounded = lambda df: F.broadcast(df) if small else df
-    meeting = stash(classes.drop("set_hash").join(bounded(nodes), "node", "left_semi"), "near-sigs")
+    meeting = classes.drop("set_hash").join(bounded(nodes), "node", "left_semi")
     sigs = meeting.select("node", "n", "sig")
     texts = stash(_bodies(docs, key, text).join(bounded(meeting.select("node", "id", "text_hash")), ["id", "text_hash"]).select("node", "text"), "near-texts")
 
     least = percent / 100 - MARGIN
-    labels = meeting.select("node", F.col("node").alias("comp"))
+    labels = nodes.select("node", F.col("node").alias("comp"))
     for n in range(CHAINS):
         open_rows = (_mixed(buckets, labels) if n else buckets.withColumn("comp", F.col("node"))).join(sigs.select("node", "sig"), "node")
         salt = F.pmod(F.xxhash64(F.lit(n), "bucket", "node"), F.ceil(F.col("members") / run_rows))
         before = Window.partitionBy("band", "bucket", salt).orderBy(F.xxhash64(F.lit(n), "band", "node"), "node")
         chained = open_rows.select(F.lag(F.struct("node", "comp", "sig")).over(before).alias("p"), "node", "comp", "sig").where("p.comp <> comp")
         pairs = chained.select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.comp").alias("ca"), F.col("comp").alias("cb"), F.col("p.sig").alias("sa"), F.col("sig").alias("sb"))
-        links = confirmed(_best(_shares(pairs, least)), texts, width=width, percent=percent)
+        links = stash(confirmed(_best(_shares(pairs, least)), texts, width=width, percent=percent), "near-links", n_rows * two_numbers)
         if links.isEmpty():
             break
-        labels = _relabel(labels, links, edge_block)
+        labels = _relabel(labels, links, edge_block, n_rows * two_numbers)
 
     block = ("band", "bucket", "i", "j")
     # an id may stand on several equal rows
@@ -263,7 +264,7 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, bloc
     sorted_rows = dealt.select(*block, "few", "node", "comp", "main", "n", "sig", "text").repartition(*block).sortWithinPartitions(*block)
     links = stash(sorted_rows.mapInArrow(_links(width, percent, least), "a long, b long"), "near-links")
     if not links.isEmpty():
-        labels = _relabel(labels, links, edge_block)
+        labels = _relabel(labels, links, edge_block, n_rows * two_numbers)
 
     named = labels.join(meeting.select("node", "id"), "node")
     least_id = named.groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -271,7 +272,7 @@ def _groups(docs: DataFrame, key: str, text: str, width: int, percent: int, bloc
     known = classes.select("node", "set_hash", "id").join(placed, "node", "left").select("set_hash", F.coalesce("component_id", "id").alias("component_id"))
     found = rows.drop("signature").join(known, "set_hash", "left")
     found = found.select("id", "text_hash", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
+    return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))), n_rows
 
 
 def near_groups(
@@ -287,7 +288,7 @@ def near_groups(
     null key is linked with nothing and kept, with a null component_id. An empty
     table gives no rows. Other columns are ignored.
     """
-    found = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
+    found, _ = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
     return found.select(F.col("id").alias(key), "n_shingles", "component_id", "kept")
 
 
@@ -299,12 +300,12 @@ def deduplicated(
     Of rows that share that key, one text stays, once, the one of the least hash; a text without
     words is a group of its own. Rows with a null key stay. All columns come back as they were.
     """
-    found = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
+    found, n_rows = _groups(docs, key, text, width, percent, block_rows, run_rows, edge_block, broadcast_ids)
     stays, times, body, nth = (unused(c, docs.columns) for c in ("_stays", "_times", "_body", "_nth"))
     # texts without words are groups of their own
     alone = F.when(F.col("n_shingles") == 0, F.col("text_hash"))
     kept = found.where(F.col("kept") & F.col("id").isNotNull()).groupBy(F.col("id").alias(stays), alone.alias("alone")).agg(F.min("text_hash").alias(body), F.count(F.lit(1)).alias(times))
-    kept = stash(kept.drop("alone"), "near-kept")
+    kept = stash(kept.drop("alone"), "near-kept", n_rows * 24)
     same = (docs[key].cast("long") == F.col(stays)) & (F.xxhash64(docs[text]) == F.col(body))
     joined = docs.join(kept, same, "left").where(F.col(stays).isNotNull() | docs[key].isNull())
     # rows are told apart only where some repeat; they have one key, so a key's rows are those of one text

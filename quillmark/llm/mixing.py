@@ -123,7 +123,7 @@ def mix_sizes(
             "shards": F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_of),
         }
     ).withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
-    targets = stash(sainte_lague(targets, [], "target", "blocks", "place").withColumnRenamed("quota", "source_blocks"), "mix-sources")
+    targets = stash(sainte_lague(targets, [], "target", "blocks", "place").withColumnRenamed("quota", "source_blocks"), "mix-sources", 0)
 
     source = F.broadcast(targets.withColumnRenamed("source", "_source")) if _small(targets) else targets.withColumnRenamed("source", "_source")
     order = draw(F.lit(seed), F.col("doc_id"))
@@ -148,7 +148,7 @@ def mix_sizes(
         .withColumn("b3", F.greatest(F.lit(0), F.col("first") + F.col("more") - F.col("shard_blocks")) * F.col("block"))
         .select("place", "shard", "full", "b1", "b2", "b3")
     )
-    shards = stash(shards, "mix-shards")
+    shards = stash(shards, "mix-shards", MOST_SHARDS * 64)
     within = Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", *(c for c in ("tie",) if c in sizes.columns))
     end = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))

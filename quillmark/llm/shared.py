@@ -38,16 +38,41 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of a file that a table of known size is written in.
+FILE_BYTES = 64 << 20
+
+
+def stash(df: DataFrame, label: str, most_bytes: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     This cuts the lineage: what reads the result survives the loss of any
     executor without redoing the work above, and sees the rows of one committed
-    attempt only. The files stay until the folder is cleaned.
+    attempt only. The files stay until ``clear_stash``, or until the folder is cleaned.
+
+    A table of at most ``most_bytes`` is written in as many files as that asks for, or as there are
+    cores, rather than one for each partition of the exchange before it.
     """
-    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if most_bytes is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most_bytes // FILE_BYTES)))
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _STASHED.append((spark.sparkContext.applicationId, path))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: What was written by this process: (application, path).
+_STASHED: list[tuple[str, str]] = []
+
+
+def clear_stash(spark: SparkSession) -> int:
+    """Deletes what the operators of this session wrote to the shared folder, once their results are written elsewhere; the number of tables."""
+    own = [x for x in _STASHED if x[0] == spark.sparkContext.applicationId]
+    for entry in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _STASHED.remove(entry)
+    return len(own)
 
 
 def tokenizer_file(name: str) -> str:

@@ -310,6 +310,7 @@ def deduplicated(
     joined = docs.join(kept, same, "left").where(F.col(stays).isNotNull() | docs[key].isNull())
     # rows are told apart only where some repeat; they have one key, so a key's rows are those of one text
     if not kept.where(F.col(times) > 1).isEmpty():
-        first = F.row_number().over(Window.partitionBy(key, body).orderBy(F.lit(1)))
+        spread = F.when(F.col(key).isNull(), F.xxhash64(text))  # rows without a key are no group
+        first = F.row_number().over(Window.partitionBy(key, body, spread).orderBy(F.lit(1)))
         joined = joined.withColumn(nth, first).where((F.col(nth) == 1) | F.col(key).isNull())
     return joined.select(*docs.columns)

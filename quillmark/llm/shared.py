@@ -39,7 +39,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 #: Bytes of a file that a table of known size is written in.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 16 << 20
 
 
 def stash(df: DataFrame, label: str, most_bytes: int | None = None) -> DataFrame:

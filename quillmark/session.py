@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,4 +42,19 @@ def build_session(app: str = "quillmark", master: str | None = None, **settings:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives tasks this package, wherever they run and whatever the driver's working directory; once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillmark-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(made)
+        _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.labels import first_of
 from quillmark.functions.text import collapse, folio, span_includes
+from quillmark.operators.links import shuffled
 from quillmark.operators.versions import current_rows
 
 
@@ -61,13 +62,13 @@ def placed_letters(letters: DataFrame, works: DataFrame, pages: DataFrame, lines
 
     ``works``: (key, work_id); ``lines``: (page_id, n_lines). Of several works the first whose folios lie in the span counts.
     """
-    keyed = letters.join(works, "key", "left")
+    keyed = letters.join(shuffled(works), "key", "left")
     leaves = pages.select(F.col("work_id").alias("_w"), "page_id", folio(F.col("label")).alias("ref")).where("ref is not null")
-    inside = keyed.where("span is not null").join(leaves, F.col("work_id") == F.col("_w")).where(span_includes(F.col("span"), F.col("ref")))
-    counted = inside.join(lines, "page_id", "left").groupBy("letter_id", "work_id").agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
+    inside = keyed.where("span is not null").join(shuffled(leaves), F.col("work_id") == F.col("_w")).where(span_includes(F.col("span"), F.col("ref")))
+    counted = inside.join(shuffled(lines), "page_id", "left").groupBy("letter_id", "work_id").agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
     first = current_rows(counted, ["letter_id"], [F.col("work_id")])
     has_work = keyed.groupBy("letter_id").agg(F.count("work_id").alias("_works"))
-    joined = letters.join(has_work, "letter_id", "left").join(first, "letter_id", "left")
+    joined = letters.join(shuffled(has_work), "letter_id", "left").join(shuffled(first), "letter_id", "left")
     reason = F.when(F.col("_works") == 0, "no_work").when(F.col("n_pages").isNull(), "no_canvas").when(F.col("n_lines") == 0, "no_lines").when(F.col("shared"), "shared").otherwise("placed")
     return joined.select("letter_id", reason.alias("reason"), "work_id", "n_pages", "n_lines")
 

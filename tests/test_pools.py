@@ -5,11 +5,13 @@ import json
 import random
 
 import pytest
+from oracle import SMALL
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
 from quillmark.operators import chains, engines, noise, pools
 from quillmark.operators.sequences import running
+from quillmark.plans import QUERIES
 from quillmark.sources import export, markup
 from quillmark.streaming import operators as stream
 
@@ -207,3 +209,10 @@ def test_a_pack_keeps_its_order(spark, tmp_path):
     lines = lambda name: [json.loads(x) for p in sorted((tmp_path / name).glob("part-*")) for x in p.read_text().splitlines()]
     assert lines("by") == [{"kind": "pack"}, {"v": "z"}, {"v": "a"}, {"v": "c"}]
     assert lines("as_is") == [{"kind": "pack"}, {"n": 3, "v": "c"}, {"n": 1, "v": "z"}, {"n": 2, "v": "a"}]
+
+
+@pytest.mark.parametrize("name", ["q_placed_letters"])
+def test_tables_that_explode_are_not_broadcast(spark, name):
+    """By its files a table of sixteen rows a work looks small enough, at any size."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.labels import section_phrase
 from quillmark.functions.text import folio, folio_span, signature_parts, span_includes
+from quillmark.operators.links import shuffled
 
 COLUMNS = ("line", "confidence", "text")
 
@@ -57,7 +58,7 @@ def record_texts(records: DataFrame, pages: DataFrame, texts: DataFrame) -> Data
 
 def citations(pages: DataFrame, works: DataFrame, runs_of_pages: DataFrame, site: str) -> DataFrame:
     """(page_id, permalink, citation): a page as read by its latest run (``runs_of_pages``: page_id, run_id, model), pinned to it."""
-    joined = pages.join(works.select("work_id", "title"), "work_id", "left").join(runs_of_pages, "page_id", "left")
+    joined = pages.join(shuffled(works.select("work_id", "title")), "work_id", "left").join(shuffled(runs_of_pages), "page_id", "left")
     link = F.concat(F.lit(f"{site}/page/"), F.col("page_id"), F.coalesce(F.concat(F.lit("?run="), F.col("run_id").cast("string")), F.lit("")))
     made = F.concat_ws(", ", F.concat(F.lit("model "), F.col("model")), F.concat(F.lit("run "), F.col("run_id").cast("string")))
     cited = F.concat(F.coalesce("title", "work_id"), F.lit(", "), folio_name(F.col("label"), F.col("seq")), F.when(made != "", F.concat(F.lit(" ("), made, F.lit(")"))).otherwise(""), F.lit(". "), link)

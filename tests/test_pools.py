@@ -211,7 +211,7 @@ def test_a_pack_keeps_its_order(spark, tmp_path):
     assert lines("as_is") == [{"kind": "pack"}, {"n": 3, "v": "c"}, {"n": 1, "v": "z"}, {"n": 2, "v": "a"}]
 
 
-@pytest.mark.parametrize("name", ["q_placed_letters"])
+@pytest.mark.parametrize("name", ["q_placed_letters", "q_citations"])
 def test_tables_that_explode_are_not_broadcast(spark, name):
     """By its files a table of sixteen rows a work looks small enough, at any size."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import edition_reference, folio, folio_span, signature_key, signature_parts, span_includes
+from quillmark.operators.links import shuffled
 from quillmark.operators.versions import current_rows
 
 MOST_TARGETS = 100
+#: Works whose pages are asked for by id; more meet their pages by a shuffle.
+FEW_WORKS = 1_000
 #: What the id of a work or page looks like.
 ID = r"[A-Za-z]?\d+(:\d+)?"
 
@@ -47,19 +50,26 @@ def by_shelfmark(query: str, shelfmarks: DataFrame, pages: DataFrame) -> DataFra
 
     A work none of whose pages carries such a folio is a target itself.
     """
+    span = folio_span(signature_parts(F.lit(query))["leaf"])
     spark = shelfmarks.sparkSession
-    asked = spark.range(1).select(signature_key(F.lit(query)).alias("q"), folio_span(signature_parts(F.lit(query))["leaf"]).alias("span"))
-    exact = shelfmarks.join(F.broadcast(asked), F.col("key") == F.col("q")).select("work_id", "span", F.lit(0).alias("far"))
-    under = shelfmarks.join(F.broadcast(asked), F.startswith("key", F.concat("q", F.lit(",")))).select("work_id", "span", F.lit(1).alias("far"))
-    both = exact.unionAll(under).distinct()
-    nearest = both.agg(F.min("far").alias("far"))  # one row
-    works = both.join(F.broadcast(nearest), "far")
+    asked = spark.range(1).select(signature_key(F.lit(query)).alias("q"), span.isNotNull().alias("leaves")).first()
+    # one reading of the key, as an expression that is read again for each mention
+    begun = F.startswith(F.concat("key", F.lit(",")), F.concat(F.lit(asked["q"]).cast("string"), F.lit(",")))
+    both = shelfmarks.where(begun).select("work_id", F.when(F.col("key") == asked["q"], 0).otherwise(1).alias("far"))
+    nearest_first = both.distinct().orderBy("far").limit(FEW_WORKS + 1).collect()
+    nearest = [r["work_id"] for r in nearest_first if r["far"] == nearest_first[0]["far"]]
+    few = len(nearest) <= FEW_WORKS
+    far = nearest_first[0]["far"] if nearest_first else 0
+    works = spark.createDataFrame([(w,) for w in nearest], both.select("work_id").schema) if few else both.where(F.col("far") == far).select("work_id").distinct()
+    rest = F.lit("work").alias("kind"), "work_id", F.lit(None).cast("string").alias("page_id")
+    if not asked["leaves"]:
+        return works.select(*rest)
     # labels are read of the pages of these works alone
-    near = pages.select("work_id", "page_id", "seq", "label").join(works.where("span is not null"), "work_id")
-    inside = near.withColumn("ref", folio(F.col("label"))).where(F.col("ref").isNotNull() & span_includes(F.col("span"), F.col("ref")))
+    own = pages.select("work_id", "page_id", "seq", "label")
+    near = (own.where(F.col("work_id").isin([w for w in nearest if w is not None])) if few else own.join(shuffled(works), "work_id")).withColumn("ref", folio(F.col("label")))
+    inside = near.where(F.col("ref").isNotNull() & span_includes(span, F.col("ref")))
     first = current_rows(inside, ["work_id"], [F.col("seq")]).select(F.lit("page").alias("kind"), "work_id", "page_id")
-    rest = works.join(first.select("work_id"), "work_id", "left_anti").select(F.lit("work").alias("kind"), "work_id", F.lit(None).cast("string").alias("page_id"))
-    return first.unionByName(rest)
+    return first.unionByName(works.join(shuffled(first.select("work_id")), "work_id", "left_anti").select(*rest))
 
 
 def by_reference(query: str, editions: DataFrame, links: DataFrame, placed: DataFrame) -> DataFrame:

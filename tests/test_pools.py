@@ -4,14 +4,15 @@ import itertools
 import json
 import random
 
+import oracle
 import pytest
 from oracle import SMALL
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as X
-from quillmark.operators import chains, engines, noise, pools
+from quillmark.operators import chains, engines, lookup, noise, pools
 from quillmark.operators.sequences import running
-from quillmark.plans import QUERIES
+from quillmark.plans import QUERIES, SQL
 from quillmark.sources import export, markup
 from quillmark.streaming import operators as stream
 
@@ -216,3 +217,15 @@ def test_tables_that_explode_are_not_broadcast(spark, name):
     """By its files a table of sixteen rows a work looks small enough, at any size."""
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("name", ["q_lookup_shelfmark"])
+@pytest.mark.parametrize("few", [lookup.FEW_WORKS, 0])
+def test_lookups_broadcast_nothing(spark, monkeypatch, name, few):
+    """Pages of few works are asked for by id, those of more meet them by a shuffle, and nothing is broadcast; both find the same."""
+    monkeypatch.setattr(lookup, "FEW_WORKS", few)
+    found = QUERIES[name](spark, SMALL)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    leaves = name == "q_lookup_shelfmark"
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == leaves * (1 if few else 3)
+    assert oracle.difference(found, oracle.tables(SMALL), SQL[name]) == ""

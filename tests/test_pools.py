@@ -219,7 +219,7 @@ def test_tables_that_explode_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
-@pytest.mark.parametrize("name", ["q_lookup_shelfmark"])
+@pytest.mark.parametrize("name", ["q_lookup_shelfmark", "q_lookup_prefix"])
 @pytest.mark.parametrize("few", [lookup.FEW_WORKS, 0])
 def test_lookups_broadcast_nothing(spark, monkeypatch, name, few):
     """Pages of few works are asked for by id, those of more meet them by a shuffle, and nothing is broadcast; both find the same."""

@@ -144,3 +144,13 @@ def test_a_passage_in_many_documents_keeps_its_anchors(spark, tmp_path):
     assert {(r.item_id, r.doc_id): r.n for r in beyond.collect()} == want
     places = {(r.item_id, r.doc_id): r.edits for r in QUERIES["q_infix_distance"](spark, str(tmp_path)).collect()}
     assert set(places) == set(want) and all(places[0, j] == 0 for j in range(12)) and places[1, 12] == 0
+
+
+def test_a_text_that_is_its_lines_fills_no_cells(monkeypatch):
+    lines = ["Die tür, naïve &", "", "plain 日本 wörd -", "... ", "ſo q; end"] * 40
+    found = A.project(lines, " ".join(lines))
+    near = A.project(lines[:5], " ".join(lines[:5]) + " x")
+    assert [r["confidence"] for r in near] == [1.0, 0.0, 1.0, 0.0, 1.0]
+    monkeypatch.setattr(A, "anchored", None)
+    assert A.project(lines, " ".join(lines)) == found
+    assert [r["text"] for r in found[:5]] == ["Die tür, naïve &", "", "plain 日本 wörd", "", "ſo q; end"] and found[0]["accepted"]

@@ -153,4 +153,4 @@ def test_a_text_that_is_its_lines_fills_no_cells(monkeypatch):
     assert [r["confidence"] for r in near] == [1.0, 0.0, 1.0, 0.0, 1.0]
     monkeypatch.setattr(A, "anchored", None)
     assert A.project(lines, " ".join(lines)) == found
-    assert [r["text"] for r in found[:5]] == ["Die tür, naïve &", "", "plain 日本 wörd", "", "ſo q; end"] and found[0]["accepted"]
+    assert [r["text"] for r in found[:5]] == ["Die tür, naïve &", "", "plain 日本 wörd", "", "- ... ſo q; end"] and found[0]["accepted"]

@@ -45,10 +45,10 @@ def reference_label(series: Column, volume: Column, piece: Column) -> Column:
     return F.concat(F.lit("AA "), roman, F.lit(","), volume.cast("string"), tail)
 
 
-def by_shelfmark(query: str, shelfmarks: DataFrame, pages: DataFrame) -> DataFrame:
+def by_shelfmark(query: str, shelfmarks: DataFrame, pages: DataFrame, most: int | None = None) -> DataFrame:
     """Targets of a shelfmark: works that carry it, else works whose marks it begins; with leaves, the pages that have them.
 
-    A work none of whose pages carries such a folio is a target itself.
+    A work none of whose pages carries such a folio is a target itself. Targets past the first ``most`` by work may be left out.
     """
     span = folio_span(signature_parts(F.lit(query))["leaf"])
     spark = shelfmarks.sparkSession
@@ -56,7 +56,9 @@ def by_shelfmark(query: str, shelfmarks: DataFrame, pages: DataFrame) -> DataFra
     # one reading of the key, as an expression that is read again for each mention
     begun = F.startswith(F.concat("key", F.lit(",")), F.concat(F.lit(asked["q"]).cast("string"), F.lit(",")))
     both = shelfmarks.where(begun).select("work_id", F.when(F.col("key") == asked["q"], 0).otherwise(1).alias("far"))
-    nearest_first = both.distinct().orderBy("far").limit(FEW_WORKS + 1).collect()
+    # a work is one target where no leaves are asked for: the first of them answer, and works are not read again
+    wanted = FEW_WORKS + 1 if asked["leaves"] or most is None else min(most, FEW_WORKS + 1)
+    nearest_first = both.distinct().orderBy("far", "work_id").limit(wanted).collect()
     nearest = [r["work_id"] for r in nearest_first if r["far"] == nearest_first[0]["far"]]
     few = len(nearest) <= FEW_WORKS
     far = nearest_first[0]["far"] if nearest_first else 0
@@ -102,7 +104,7 @@ def lookup(query: str, *, works: DataFrame, pages: DataFrame, shelfmarks: DataFr
         if found is None or found.isEmpty():
             # families as they are written; fixed values
             spelled = re.sub(r"(?i)^(lh|lbr|lk|marg)\b", lambda m: {"lh": "LH", "lbr": "LBr", "lk": "LK", "marg": "Marg"}[m[1].lower()], text)
-            found = by_shelfmark(spelled, shelfmarks, pages)
+            found = by_shelfmark(spelled, shelfmarks, pages, most)
     return found.orderBy("work_id", "page_id").limit(most)
 
 

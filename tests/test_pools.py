@@ -229,3 +229,17 @@ def test_lookups_broadcast_nothing(spark, monkeypatch, name, few):
     leaves = name == "q_lookup_shelfmark"
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == leaves * (1 if few else 3)
     assert oracle.difference(found, oracle.tables(SMALL), SQL[name]) == ""
+
+
+@pytest.mark.parametrize("most, exact, found", [(3, (), "abc"), (9, (), "abcdefgh"), (3, "h", "h"), (3, "hgfe", "efg"), (0, (), "")])
+def test_works_under_a_shelfmark_are_read_once(spark, monkeypatch, most, exact, found):
+    """The first targets, the nearest before others, come of one reading of the works, however many there are."""
+    monkeypatch.setattr(lookup, "FEW_WORKS", 3)
+    rows = [(w, "LH 4,1,2") for w in "hgfedcba"] + [(w, "LH 4,1") for w in exact] + [("z", "LH 4,10")]
+    marks = spark.createDataFrame(rows, "work_id string, key string")
+    pages = spark.createDataFrame([], "work_id string, page_id string, seq int, label string")
+    unused = marks.limit(0)
+    targets = lookup.lookup("LH IV, 1", works=marks, pages=pages, shelfmarks=marks, editions=unused, links=unused, placed=unused, most=most)
+    assert "".join(r.work_id for r in targets.collect()) == found
+    plan = targets._jdf.queryExecution().sparkPlan().toString()
+    assert ("Aggregate" in plan) == (most > lookup.FEW_WORKS)
